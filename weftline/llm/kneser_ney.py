@@ -149,7 +149,7 @@ class _Tally:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self.fold()
-        rows = list(self.send(self.keys, self.counts))
+        rows = list(self.send(self.keys, self.counts)) if len(self.keys) else []
         self.keys, self.counts = self.keys[:0], self.counts[:0]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["part", "block"])
@@ -232,6 +232,8 @@ def successors(model: Model, context: np.ndarray, word: np.ndarray) -> tuple[np.
     """For pairs of known ids: the pair's count, and the context's numbers of successors seen once, twice, more often."""
     n = len(context)
     count, kinds = np.zeros(n, dtype=np.int64), np.zeros((n, 3), dtype=np.int64)
+    if not n:
+        return count, kinds
     shard = model.shard_of(context)
     for c, own in model.hot.items():
         at = np.flatnonzero(context == c)
