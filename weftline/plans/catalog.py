@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import changes, discovery, library, lines, quality
+from ..operators import changes, discovery, formats, library, lines, quality
+from ..operators import pages as stage
 
 SUB = ("the", "of", "de")
 BASE = "https://www.site3.example.com"
@@ -185,12 +186,61 @@ def lost_tokens(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.round(fn.lost_share("text", half), 6).alias("lost"))
 
 
+#: The article is isolated, what surrounds it goes.
+PROFILE = {"html_components": {"content_selector": "article"}, "filters": {"image_ignore_keywords": ["logo", "icon", "banner"]}}
+
+
+def extracted(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    return stage.extract(stage.within_limit(pages(spark, d)), PROFILE, want)
+
+
+def html_link_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = extracted(spark, d, "links").select("page_id", F.explode_outer("links").alias("l"))
+    return rows.groupBy("page_id").agg(F.count("l").alias("n"), F.coalesce(F.sum(F.length("l.text")), F.lit(0)).alias("letters"))
+
+
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return extracted(spark, d, "md", "error").select("page_id", "url", "md", "error")
+
+
+def page_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return extracted(spark, d, "fp").select("page_id", "fp")
+
+
+def page_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of pages whose links are given a table of specifications by a fixed recipe."""
+    rows = pages(spark, d).withColumn(
+        "html", F.concat("html", F.lit("<table><tr><td>Page</td><td>"), "page_id", F.lit("</td></tr><tr><td>Size</td><td>"), F.length("url"), F.lit("</td></tr><tr><td>Kind</td><td>page</td></tr></table>"))
+    )
+    return stage.specs(stage.extract(rows, {"spec_extraction": {"cascade": ["spec_table"]}}, ["specs"])).select("page_id", "layer", "ord", "k", "v")
+
+
+def page_shells(spark: SparkSession, d: str) -> DataFrame:
+    return extracted(spark, d, "js_shell").select("page_id", "js_shell")
+
+
+def worst_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages to Markdown, scored; the 20 worst."""
+    rows = extracted(spark, d, "md").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.col("md").alias("text"))
+    return quality.worst(quality.quality_rows(rows)).select("path", "score", F.array_join("issues", ",").alias("issues"), "word_count")
+
+
+def page_notes(spark: SparkSession, d: str) -> DataFrame:
+    docs = extracted(spark, d, "md").withColumn("title", library.first_heading(F.col("md"), F.col("url")))
+    return formatted_digest(formats.formatted(docs, "obsidian", "2024-01-01", ["strip_blank_runs"]))
+
+
+def formatted_digest(docs: DataFrame) -> DataFrame:
+    return docs.select("page_id", "title", F.length("body").alias("n"), F.md5("body").alias("body_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         url_parts, same_origin_pairs, list_pages, discovery_controls, url_buckets, heading_clamp, heading_demotion, same_title_merge, alt_echoes, fenced_spaces,
         skipped_sections, repeated_blocks, empty_sections, heading_issues, quality_scores, worst_documents, site_summary, quality_verdict, line_metrics,
         library_documents, library_index, library_summary, baseline_changes, baseline_refresh, quality_regressions, exact_duplicates, file_names, lost_tokens,
+        html_link_counts, page_markdown, page_fingerprints, page_specs, page_shells, worst_pages, page_notes,
     )
 }
 
@@ -268,6 +318,12 @@ HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^/?#]+)', 1))"
 SCHEME = r"lower(regexp_extract({0}, '^([a-zA-Z]+)://', 1))"
 
 ORACLES: dict[str, str] = {
+    "html_link_counts": r"""WITH a AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 'gs'), '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)
+        SELECT page_id, len(t) AS n, CAST(coalesce(list_sum(list_transform(t, lambda x: length(trim(replace(replace(replace(x, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'))))), 0) AS BIGINT) AS letters FROM a""",
+    "page_specs": """SELECT page_id, 'Auto' AS layer, CAST(o AS INTEGER) AS ord, k, v FROM (
+        SELECT page_id, 0 AS o, 'Page' AS k, CAST(page_id AS VARCHAR) AS v FROM pages UNION ALL SELECT page_id, 1, 'Size', CAST(length(url) AS VARCHAR) FROM pages
+        UNION ALL SELECT page_id, 2, 'Kind', 'page' FROM pages)""",
+
     "url_parts": f"SELECT page_id, {SCHEME.format('url')} AS scheme, {HOST.format('url')} AS host, {SLUG} AS slug, {IS_LIST} AS is_list, md5(lower(url)) AS url_md5 FROM pages",
     "same_origin_pairs": f"""SELECT a.page_id, {SCHEME.format('a.url')} IN ('http', 'https') AND {SCHEME.format('a.url')} = {SCHEME.format('b.url')}
         AND {HOST.format('a.url')} = {HOST.format('b.url')} AS same FROM pages a JOIN pages b ON b.page_id = a.page_id + 1""",
