@@ -104,7 +104,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     every = staged(_all_spans(df.withColumn(key, F.xxhash64(F.col(f"`{text}`"))), text, key, doc_id), "spans")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "h", "first")
     counted = every.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("start")).filter("n > 1")
-    both = every.join(counted.drop("n"), "span").filter(~place.eqNullSafe(F.col("start")))
+    # written first: joined with the aggregate itself, the occurrences of a span could not be split over tasks
+    both = every.join(staged(counted.drop("n"), "repeated"), "span").filter(~place.eqNullSafe(F.col("start")))
     facts = F.sort_array(F.collect_set(F.struct("first", "last", F.col("start.id").alias("kept_in"))))
     return staged(both.groupBy("id", "h").agg(facts.alias("gone")), "repeats")
 
