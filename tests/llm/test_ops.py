@@ -1,0 +1,484 @@
+"""Each operator against a brute-force version, the library it imitates, or held-out accuracy; then the odd cases."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from weftline.llm import bpe, catalog, kneser_ney, langid, mixing, near_vectors, pii, sharding, simhash, span_dedup, topk
+from weftline.llm.common import components
+
+PATH = P.path("byte_bpe_multi_50k.tiktoken")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [
+    (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "x" * 200_000, None, "b", 1), (4, "Same text, twice.", "en", "a", 2), (4, "Same text, twice.", "en", "a", 2),
+    (None, "No id here, sorry.", "fr", "", 3), (5, " \t\n", "de", "é", 4), (6, "!!! 123 ???", "en", "a", 5), (7, "word " * 30_000, "en", "z", 6), (None, None, None, None, None),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def local(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    a, b = catalog.queries()[name](spark, data).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
+    names = sorted(a.columns)
+    key = lambda f: sorted(tuple(str(v) for v in r) for r in f[names].itertuples(index=False, name=None))
+    assert key(a) == key(b)
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+
+
+def _bpe_row(encoding, text):
+    ids = encoding.encode_ordinary(text or "")
+    return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_bpe_query_equals_library(spark, data, local, encoding):
+    for r in bpe.query(spark, data).collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == _bpe_row(encoding, local[r.doc_id].text)
+
+
+def test_bpe_odd(spark, odd, none, encoding):
+    more = ["'s 'll we've  \n\n x　y é中文   a\u0085b ²¾ <|endoftext|>", "\U0001f600‍" * 50, "a" * 3000, "\x1c\x1d ab"]
+    rows = odd.unionByName(spark.createDataFrame([(100 + i, t, None, None, 0) for i, t in enumerate(more)], SCHEMA))
+    want = sorted(_bpe_row(encoding, t) for t in [r[1] for r in ODD] + more)
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(rows, PATH, P.PATTERN).collect()) == want
+    assert bpe.digests(none, PATH, P.PATTERN).count() == 0
+    clash = bpe.encode(odd.withColumn("n_tokens", F.lit("x")).withColumn("Token_IDs", F.lit("y")), PATH, P.PATTERN)
+    assert clash.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "n_tokens"] and clash.count() == len(ODD)
+    back = bpe.decode(clash, PATH, P.PATTERN).select("text", F.decode("decoded", "UTF-8").alias("d")).collect()
+    assert all((r.text or "") == r.d for r in back)
+
+
+def test_perfect_hash():
+    keys = [str(i).encode() for i in range(5000)]
+    h = bpe.PerfectHash(keys)
+    assert [h.find(k) for k in keys] == list(range(5000)) and h.find(b"no") == -1 and sorted(h.at) == list(range(5000))
+    assert bpe.PerfectHash([]).find(b"x") == -1
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------------
+
+
+def _shards_hold(rows, texts):
+    by, slots, group = defaultdict(int), defaultdict(list), defaultdict(set)
+    for r, t in zip(rows, texts, strict=True):
+        raw = (t or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw) and r.law == "bytes" and r.grown_shard is None
+        by[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        group[t].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(g) == 1 for g in group.values()) and set(by) <= set(range(16))
+    return by
+
+
+def test_sharding_query(spark, data, local):
+    rows = sharding.query(spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(local)
+    by = _shards_hold(rows, [local[r.doc_id].text for r in rows])
+    sizes = Counter()
+    for r in rows:
+        sizes[local[r.doc_id].text] += r.size
+    assert max(by.values()) - min(by.values()) <= max(sizes.values()) and len(by) == 16
+
+
+def test_minimax_is_smallest():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes, k = rng.integers(1, 30, rng.integers(1, 14)).tolist(), int(rng.integers(1, 6))
+        best = np.full((k + 1, len(sizes) + 1), np.inf)
+        best[0, 0] = 0
+        for s in range(1, k + 1):
+            for j in range(len(sizes) + 1):
+                best[s, j] = min(max(best[s - 1, i], sum(sizes[i:j])) for i in range(j + 1))
+        assert sharding.smallest_capacity(sizes, k) == best[k, len(sizes)]
+        cuts = [0, *sharding.even_cuts(sizes, k), len(sizes)]
+        assert cuts == sorted(cuts) and max(sum(sizes[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)) == best[k, len(sizes)]
+
+
+def test_bounds_by_bins_are_those_of_all_groups(spark):
+    rng = np.random.default_rng(2)
+    hs = sorted({int(x) for x in rng.integers(-(2**63), 2**63 - 1, 3000)})
+    sizes = rng.integers(1, 50, len(hs)).tolist()
+    groups = spark.createDataFrame(list(zip(hs, sizes, strict=True)), "h long, size long")
+    own, bounds = sharding.plan(groups, 7, first_bits=5, listed=400)
+    assert own == [] and bounds == [hs[c] for c in sharding.even_cuts(sizes, 7)]
+
+
+def test_sharding_hot_and_odd(spark, odd, none):
+    rows = spark.createDataFrame([(i, "copy " * 20 if i < 100 else f"text {i} " * (i % 7), "en", "a", 0) for i in range(300)], SCHEMA)
+    got = sharding.digests(rows, 16).collect()
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    by = _shards_hold(got, [texts[r.doc_id] for r in got])
+    light = sorted(by.values())[:-1]
+    assert light[-1] - light[0] <= 200
+    assert sharding.digests(none, 16).count() == 0
+    got = sharding.digests(odd, 16).collect()
+    assert len(got) == len(ODD)
+    clash = sharding.shard(odd.withColumn("Slot", F.lit("x")).withColumn("task", F.lit(1)).withColumn("h", F.lit(2)), 3)
+    assert set(clash.columns) == {*odd.columns, "task", "h", "size", "text_crc32", "shard", "slot"} and clash.count() == len(ODD)
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+def _brute_lm(texts, held):
+    tk = [[*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), b" END"] for t in texts]
+    train = [t for t, h in zip(tk, held, strict=True) if not h]
+    c = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip([b" START", *t], t, strict=False))
+    n, v = sum(c.values()), len(c)
+    of = lambda counts: [sum(1 for x in counts.values() if x == k) for k in (1, 2, 3, 4)]
+    high, near = kneser_ney.discounts(of(pairs)), Counter(w for _, w in pairs)
+    low = kneser_ney.discounts(of(near))
+    spare = sum(low[min(x, 3)] for x in near.values()) / len(pairs) if pairs else 1.0
+    mass = Counter()
+    for (a, _), x in pairs.items():
+        mass[a] += high[min(x, 3)]
+    seen = Counter(c) + Counter({b" START": len(train)})
+    del seen[b" END"]
+
+    def p(a, w):
+        alone = max(near[w] - low[min(near[w], 3)], 0) / max(len(pairs), 1) + spare / (v + 1)
+        return (max(pairs[a, w] - high[min(pairs[a, w], 3)], 0) + mass[a] * alone) / seen[a] if seen[a] else alone
+
+    base = lambda w: np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
+    return [(len(t), sum(c[w] > 0 for w in t), n, sum(map(base, t)), sum(np.log10(p(a, w)) for a, w in zip([b" START", *t], t, strict=False))) for t in tk]
+
+
+def _lm_same(rows, texts):
+    want = _brute_lm(texts, [r.held_out for r in rows])
+    for r, w in zip(rows, want, strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+        assert np.allclose([r.base_score, r.score], w[3:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("part", [4 << 20, 2000])
+def test_lm_query(spark, data, local, monkeypatch, part):
+    monkeypatch.setattr(kneser_ney, "PART", part)  # at 2000 tokens frequent words are split over reducers
+    rows = kneser_ney.query(spark, data).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
+    _lm_same(rows, [local[r.doc_id].text for r in rows])
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def test_lm_odd(spark, odd, none):
+    rows = kneser_ney.digests(odd.withColumn("i", F.monotonically_increasing_id())).collect()
+    text = Counter()
+    assert len(rows) == len(ODD) and not text
+    ids = defaultdict(list)
+    for r in ODD:
+        ids[r[0]].append(r[1])
+    order = [ids[r.doc_id].pop(0) for r in rows]
+    _lm_same(rows, order)
+    assert kneser_ney.digests(none).count() == 0
+    only = spark.createDataFrame([(i, "a b") for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0][:3], "doc_id long, text string")
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in kneser_ney.digests(only).collect()] == [(3, 0, 0, 0.0)] * 3
+
+
+def test_word_hashes_don_t_depend_on_windows():
+    raw = b"  the quick  brown\tfox\x0bjumps " * 50
+    a, b = kneser_ney.word_hashes(raw), kneser_ney.word_hashes(raw, 16)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and len(set(a[1].tolist())) == 5
+
+
+# 4, 10 -----------------------------------------------------------------------------------------------------------------
+
+
+def _links(rows, t=0.93):
+    ok = [r for r in rows if r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    near = defaultdict(set)
+    for i, a in enumerate(ok):
+        for b in ok[:i]:
+            if a[2] == b[2] and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / (np.linalg.norm(a[1]) * np.linalg.norm(b[1])) >= t:
+                near[a[0]].add(b[0])
+                near[b[0]].add(a[0])
+    comp = {}
+    for r in sorted(rows):
+        todo = [r[0]]
+        while todo:
+            if (x := todo.pop()) not in comp:
+                comp[x] = r[0]
+                todo += near[x]
+    return {r[0]: (len(near[r[0]]), comp[r[0]], comp[r[0]] == r[0]) for r in rows}
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(near_vectors, "BLOCK", block)  # at 16 cells are compared as pairs of blocks
+    monkeypatch.setattr(near_vectors, "PER_PIVOT", 40)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(6, 8))
+    rows = [(i, (centers[i % 6] + rng.normal(size=8) * 0.12 * (i % 4)).astype(np.float32).tolist(), i % 3) for i in range(240)]
+    rows += [(300 + i, rows[7][1], rows[7][2]) for i in range(90)]  # a third are copies
+    rows += [(400, None, 1), (401, [0.0] * 8, 1), (402, [float("nan")] + [1.0] * 7, 1), (403, rows[3][1], None), (404, [None] + [1.0] * 7, 1), (405, [1.0, 2.0], 1), (406, [2.0, 4.0], 1), (407, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.link(df).collect()}
+    assert got == _links(rows)
+
+
+def test_near_vectors_odd(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert near_vectors.link(none).count() == 0
+    rows = spark.createDataFrame([(1, [1.0], 1, "x", 9), (1, [1.0], 1, "y", 8), (None, [1.0], 1, "z", 7), (None, None, 1, "w", 6)], "vec_id long, embedding array<float>, label int, kept string, node int")
+    got = near_vectors.link(rows).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept, r.node) for r in got) == [(0, 0, 0, True, 6), (0, 2, 1, False, 7), (1, 2, 1, True, 8), (1, 2, 1, True, 9)]
+
+
+@pytest.mark.parametrize("scale", [1024.0, 3.0e12])
+def test_topk(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "PER_PIVOT", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)] + [(300 + i, [0.5] * 6) for i in range(120)] + [(500, None), (501, [float("inf")] * 6), (502, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in topk.search(df, df.filter("vec_id % 20 = 0"), scale=scale).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = {i: [int(np.floor(x * scale)) for x in map(float, v)] for i, v in rows[:420]}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for q in [i for i in whole if i % 20 == 0]:
+        all_ = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q))[:10]
+        assert got[q] == [(i, clip(-s)) for s, i in all_]
+    assert set(got) == {i for i in whole if i % 20 == 0}
+
+
+def test_topk_odd(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.search(none, none).count() == 0
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (None, [3.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.search(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def _brute_spans(rows):
+    """Removed sentences of each row by a pass over all rows in order."""
+    occ = defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        if t is not None:
+            found = span_dedup.sentences(t)
+            for h, a, z in span_dedup.spans(t, found):
+                occ[h].append((k, a, z))
+    out = defaultdict(set)
+    for places in occ.values():
+        for k, a, z in sorted(places)[1:]:
+            out[k] |= set(range(a, z + 1))
+    return {rows[k][0]: len(v) for k, v in out.items()}
+
+
+def test_spans_query(spark, data, local):
+    got = {r.doc_id: r for r in span_dedup.query(spark, data).collect()}
+    want = _brute_spans([(i, local[i].text) for i in sorted(local)])
+    assert {i: r.n_removed for i, r in got.items() if r.n_removed} == want and set(got) == set(local)
+    for i, r in got.items():
+        assert r.n_sentences == len(span_dedup.sentences(local[i].text)) and (r.n_removed or r.text == local[i].text)
+
+
+def test_planted_passage(spark):
+    words = [f"w{i}" for i in range(60)]
+    passage = " ".join(words[:20]) + ". " + " ".join(words[20:40]) + ". " + " ".join(words[40:]) + "."
+    rows = [(k, f"Start of number {k} with its own words here. {passage} And an end that is document {k} alone.") for k in range(5)] + [(9, "A clean document. It repeats nothing at all of the others, not one of their sentences.")]
+    got = {r.doc_id: r for r in span_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].kept_text == rows[0][1] and got[9].kept_text == rows[5][1] and got[3].kept_in == [0]
+    assert got[3].kept_text == "Start of number 3 with its own words here. And an end that is document 3 alone."
+
+
+def test_spans_odd(odd, none):
+    got = span_dedup.remove(odd.withColumn("Removed", F.lit(1)).withColumn("span", F.lit(2))).collect()
+    assert len(got) == len(ODD) and sum(r.kept_text is None for r in got) == 2 and all(r.n_removed == 0 for r in got if r.doc_id == 4)
+    assert span_dedup.remove(none).count() == 0
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_language_accuracy(spark, data, local):
+    rows = langid.query(spark, data).collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang_pred == local[r.doc_id].lang for r in held]) > 0.95
+
+
+def test_language_odd(spark, odd, none, docs):
+    got = {(r.doc_id, r.lang_pred) for r in langid.digests(docs.unionByName(odd.filter("doc_id < 7 and doc_id > 4 or doc_id < 3 or doc_id is null"))).filter("lang_pred = 'und'").collect()}
+    assert {(1, "und"), (2, "und"), (5, "und"), (6, "und"), (None, "und")} <= got
+    assert langid.digests(none).count() == 0
+    assert {r.lang_pred for r in langid.digests(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    one = langid.digests(docs.filter("lang = 'en'")).collect()
+    assert {r.lang_pred for r in one} == {"en"} and {r.score for r in one} == {1.0}
+    model = langid.fit(docs, F.lit(False))
+    assert "Score" not in langid.identify(docs.withColumn("Score", F.lit(1)), model).columns
+
+
+@pytest.mark.parametrize("k", [2, 3, 5, 9, 40])
+def test_codewords_differ(k):
+    m = langid.codewords(k)
+    assert len(m) == k and len({tuple(r) for r in m.tolist()}) == k and not (abs(m.sum(0)) == k).any()
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _base_spans(text):
+    def good(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in s.split(".")), "card": 13 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+    return {k: [m.span() for m in re.finditer(p, text) if good(k, m[0])] for k, p in BASE.items()}
+
+
+def test_pii_query(spark, data, local):
+    for r in pii.query(spark, data).collect():
+        want = _base_spans(local[r.doc_id].text)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(v) for v in want.values()]
+        listed = ",".join(f"{k}:{a}:{z}" for k, v in want.items() for a, z in v)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.spans.startswith(listed)
+
+
+def test_pii_random():
+    rng = np.random.default_rng(5)
+    bits = ["a", "b@", "@", "c.d", "x@y.z", ".", "-", "+", "+1", "(", "555", "1.2.3.4", "256.", " ", "  ", "4539 1488 0343 6467", "4539148803436467", "é", "%", "9", "12-3", "\n", "ssn ", "DE89"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits, rng.integers(0, 16)))
+        got = pii.find(t)
+        assert {k: got[k] for k in BASE} == _base_spans(t)
+
+
+def test_pii_more(odd, none):
+    got = pii.find("IBAN DE89 3704 0044 0532 0130 00, ssn: 123-45-6789, http://u:p@h.example/x")
+    assert len(got["account"]) == 2 and len(got["url"]) == 1 and not pii.find("DE89 3704 0044 0532 0130 01 and 123-45-6789")["account"]
+    t = "write to a.b@c.example or +49 (30) 1234567."
+    assert pii.redacted(t, pii.find(t)) == "write to <EMAIL> or <PHONE>."
+    assert pii.detect(odd.withColumn("Spans", F.lit(1))).count() == len(ODD) and pii.detect(none).count() == 0
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_mixing_totals(spark, odd, none, data):
+    rows = mixing.query(spark, data).collect()
+    assert all(0 <= r.taken <= 2 * r.size for r in rows)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    taken, want = Counter(), {}
+    for r in rows:
+        taken[source[r.doc_id]] += r.taken
+        want[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - t) <= 2 for s, t in want.items()) and abs(sum(want.values()) - 1.5 * sum(r.size for r in rows)) < 1
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.query(spark, data).collect()))
+    got = mixing.digests(odd).collect()
+    assert len(got) == len(ODD) and all(0 <= r.taken <= 2 * r.size for r in got) and sum(r.size for r in got if r.doc_id is None) == 4
+    assert mixing.digests(none).count() == 0
+    wide = mixing.mix(odd.withColumn("Taken", F.lit("x")).withColumn("key_", F.lit(1)))
+    assert "Taken" not in wide.columns and sorted(r.taken for r in wide.collect()) == sorted(r.taken for r in got)
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------
+
+
+def _slow_print(text, width=3):
+    import xxhash
+
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def _slow_components(prints):
+    ids = sorted(prints)
+    up = {i: i for i in ids}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: top(i) for i in ids}
+
+
+def test_simhash_query(spark, data, local):
+    prints = {i: _slow_print(r.text) for i, r in local.items()}
+    want = _slow_components(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, data).collect()}
+    assert got == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
+
+
+@pytest.mark.parametrize("most", [4096, 8])
+def test_simhash_links(spark, most):
+    rng = np.random.default_rng(6)
+    prints = {}
+    for i in range(150):
+        x = int(rng.integers(0, 2**63)) if i % 10 == 0 else prints[i - i % 10]
+        for b in rng.integers(0, 64, i % 4):
+            x ^= 1 << int(b)
+        prints[i] = x
+    rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in set(prints.values())], "fp long")
+    roots = {r.node: r.root for r in components(simhash.links(rows, most)).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = _slow_components(prints)
+    for a in prints:
+        for b in range(a):
+            x, y = signed(prints[a]), signed(prints[b])
+            assert (roots.get(x, x) == roots.get(y, y)) == (want[a] == want[b])
+
+
+def test_simhash_odd(odd, none):
+    got = simhash.near_duplicates(odd.withColumn("Fingerprint", F.lit(1)).withColumn("fp_", F.lit(2))).collect()
+    assert len(got) == len(ODD)
+    zero = [r for r in got if int(r.fingerprint, 16) == 0]
+    assert {r.component_id for r in zero} == {1} and sorted(r.doc_id or 0 for r in zero) == [0, 1, 2, 5]
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.keep_one(odd.filter("text is not null"), width=5)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 6, 7] and kept.columns == odd.columns
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400) if i != 200], "src long, dst long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {i: 0 if i <= 200 else 201 for i in range(401)}
+    assert components(edges.filter("src < 0")).count() == 0

@@ -9,7 +9,7 @@ copied to a query group only if its distance from that group's pivot allows one
 in blocks of ``BLOCK`` data vectors, and the k best of each query and block are merged by a window.
 
 Scores are exact: products are summed as doubles while every sum stays below 2^53, else as Python's whole numbers
-(clipped to 64 bits at the end).
+(ranked in full, clipped to 64 bits at the end).
 
 Nulls and rows: vectors that are null, empty, or hold a null or non-finite component take no part, as queries or as
 candidates; a shorter vector counts as filled up with zeros; equal scores rank the smaller vec_id first; a query's own row
@@ -126,8 +126,8 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
                     yield _best(table.slice(a, m), table.slice(a + m, z - a - m), k, scale, width, fits)
 
     met = ys.unionByName(xs).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
-    partial = met.mapInArrow(solve, f"query_id {kind}, vec_id {kind}, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    partial = met.mapInArrow(solve, f"query_id {kind}, vec_id {kind}, score long, beyond string")
+    ranked = Window.partitionBy("query_id").orderBy(F.col("beyond").desc(), F.col("score").desc(), "vec_id")
     best = partial.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return staged(best.select("query_id", "rank", "vec_id", "score"), "best")
 
@@ -142,6 +142,7 @@ def _best(data: pa.Table, queries: pa.Table, k: int, scale: float, width: int, f
         whole = lambda m: np.array([[int(v) for v in row] for row in m], dtype=object)
         score = whole(x) @ whole(y).T
     out_q, out_i, out_s = [], [], []
+    beyond: list[str | None] = []  # scores of any size as strings in their order
     for row, me in zip(score, asked, strict=True):
         at = np.flatnonzero(ids != me)
         s = row[at]
@@ -153,7 +154,8 @@ def _best(data: pa.Table, queries: pa.Table, k: int, scale: float, width: int, f
         out_q.append(np.full(len(at), me))
         out_i.append(ids[at])
         out_s += [max(-(2**63), min(2**63 - 1, int(v))) for v in s]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i)), pa.array(out_s, pa.int64())], names=["query_id", "vec_id", "score"])
+        beyond += [None] * len(s) if s.dtype != object else [str(v + 10**99).zfill(100) for v in s]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i)), pa.array(out_s, pa.int64()), pa.array(beyond, pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
