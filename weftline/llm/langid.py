@@ -60,6 +60,8 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 def codewords(languages: int) -> np.ndarray:
     """A row of -1 and 1 for each language: all ways to split up to five, else the best of some drawn with a fixed seed."""
+    if languages < 2:
+        return np.zeros((languages, 0))
     if languages <= 5:
         n = 2 ** (languages - 1) - 1
         return np.array([[1 if c == 0 or (b >> (c - 1)) & 1 else -1 for b in range(n)] for c in range(languages)])
@@ -82,7 +84,9 @@ class Model:
         self.languages = languages
         self.code = codewords(len(languages)).astype(np.float32)
         bits = self.code.shape[1]
-        target = self.code[y] if bits else np.zeros((len(x), 0), dtype=np.float32)
+        if not bits:  # nothing to tell apart
+            return
+        target = self.code[y]
         scale = 1 / np.maximum(x.std(0), 1e-4)
         mean = x.mean(0)
         z = (x - mean) * scale
@@ -98,7 +102,7 @@ class Model:
             w -= 4.0 * v
             shift -= 0.5 * pull.sum(0)
         right = (np.sign(z @ w + shift) == target) * share
-        self.bit = np.clip(right.sum(0), 0.5, 1).astype(np.float32) if bits else np.zeros(0, dtype=np.float32)
+        self.bit = np.clip(right.sum(0), 0.5, 1).astype(np.float32)
         self.w = (w * scale[:, None] / np.sqrt(max(z.shape[1], 1))).astype(np.float32)
         self.shift = (shift - mean @ self.w).astype(np.float32)
 
