@@ -28,6 +28,7 @@ from .common import cols, free_name, staged, with_results
 #: Leading bits of the hash that the first bins share (so many bins, and groups that exceed a bin's even part, reach the
 #: driver at most); bits that split an open bin; groups that are listed on the driver at most.
 FIRST_BITS, MORE_BITS, LISTED = 16, 6, 50_000
+RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
 def _check(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -122,16 +123,25 @@ def plan(groups: DataFrame, shards: int, **how) -> tuple[list[int], list[int]]:
 
 def shard(df: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
     """``df`` with size, text_crc32, shard and slot (long, gapless from 0 in each shard), sizes near equal."""
-    base = with_results(df, ["size", "text_crc32", "law", "shard", "slot", "grown_shard"])
-    h, pid, place = (free_name(base, x) for x in ("h", "task", "place"))
+    base = with_results(df, RESULTS)
+    h = free_name(base, "h")
+    return _place(_facts(df, base, text, h), base.columns, h, shards)
+
+
+def _facts(df: DataFrame, base: DataFrame, text: str, h: str) -> DataFrame:
     raw = F.encode(F.col(f"`{text}`"), "UTF-8")
-    facts = df.select(
+    return df.select(
         *cols(base),
         (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(42)).alias(h),
     )
-    table = staged(facts, "facts")
+
+
+def _place(table: DataFrame, names: list[str], h: str, shards: int) -> DataFrame:
+    """``table`` (columns ``names``, size, text_crc32 and the group's hash ``h``) with shard and slot."""
+    pid, place = (free_name(table, x) for x in ("task", "place"))
+    kept = [F.col(f"`{c}`") for c in names]
     groups = staged(table.groupBy(F.col(h).alias("h")).agg(F.sum("size").alias("size")), "groups")
     own, bounds = plan(groups, shards)
     at = F.lit(len(own))
@@ -141,7 +151,7 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
         # a bound beyond the last group leaves its shard empty
     for k, v in enumerate(own):
         at = F.when(F.col(h) == F.lit(v), F.lit(k)).otherwise(at)
-    dealt = table.select(*cols(base), "size", "text_crc32", at.cast("int").alias("shard"))
+    dealt = table.select(*kept, "size", "text_crc32", at.cast("int").alias("shard"))
     schema = T.StructType([*dealt.schema.fields, T.StructField(pid, T.IntegerType()), T.StructField(place, T.LongType())])
 
     def number(batches):
@@ -162,7 +172,7 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
     before = Window.partitionBy("shard").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.select("shard", pid, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     skip = F.col("skip") + F.col(place)
-    return placed.join(offsets, ["shard", pid]).select(*cols(base), "size", "text_crc32", "shard", skip.cast("long").alias("slot"))
+    return placed.join(offsets, ["shard", pid]).select(*kept, "size", "text_crc32", "shard", skip.cast("long").alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,5 +182,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, shards: int) -> DataFrame:
-    placed = shard(docs.select("doc_id", F.col("text").alias("__text")), shards, "__text")
+    """The contract's columns; texts are read once, for their sizes, checksums and hashes."""
+    facts = staged(_facts(docs, docs.select("doc_id"), "text", "h"), "facts")
+    placed = _place(facts, ["doc_id"], "h", shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
