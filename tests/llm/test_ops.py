@@ -265,6 +265,9 @@ def test_near_vectors_odd(spark):
 def test_topk(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "BLOCK", 60)
     monkeypatch.setattr(topk, "PER_PIVOT", 5)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "SCORED", 2)
+    monkeypatch.setattr(topk, "PLACED", 50)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)] + [(300 + i, [0.5] * 6) for i in range(120)] + [(500, None), (501, [float("inf")] * 6), (502, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import cols, components, free_name, merge_labels, run_starts, split_hot, staged, whole_runs, with_results
 from .vectors import distances, matrix, pivots, usable
 
-#: Rows of a cell that one task compares at a time, at most; vectors for each pivot; pivots at most.
-BLOCK, PER_PIVOT, MOST_PIVOTS = 2048, 2000, 256
+#: Rows of a cell that one task compares at a time, at most; vectors for each pivot; pivots at most; vectors whose
+#: distances from all pivots are held at a time.
+BLOCK, PER_PIVOT, MOST_PIVOTS, PLACED = 4096, 2000, 4096, 256
 EPS = 1e-7
 
 
@@ -69,9 +70,8 @@ def _join(slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
     def assign(batches, radius=None):
         p = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        most = np.full(len(p), -1.0)
+        for batch in (whole.slice(a, PLACED) for whole in batches for a in range(0, whole.num_rows, PLACED)):
             x = matrix(batch.column("vec"), p.shape[1])
             big = np.abs(x).max(1, keepdims=True)
             x = x / big
@@ -82,9 +82,7 @@ def _join(slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             home = d.argmin(1)
             own = d[np.arange(len(d)), home]
             if radius is None:
-                most = np.zeros(len(p))
                 np.maximum.at(most, home, own)
-                yield pa.RecordBatch.from_pydict({"pivot": pa.array(range(len(p)), pa.int32()), "radius": most})
                 continue
             go = (d <= own[:, None] + 2 * r) & (d <= radius[None, :] + r) & (np.arange(len(p))[None, :] > home[:, None])
             go[np.arange(len(d)), home] = True
@@ -95,6 +93,9 @@ def _join(slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
                 [pa.array(c.astype(np.int64)), pa.array((c == home[i]).astype(np.int32)), unit, part.column("label"), part.column("node"), part.column("members")],
                 names=["cell", "home", "vec", "label", "node", "members"],
             )
+        if radius is None:
+            g = np.flatnonzero(most >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(most[g])], names=["pivot", "radius"])
 
     source = slim.select("vec", "label", "node", "members")
     found = source.mapInArrow(lambda b: assign(b), "pivot int, radius double").groupBy("pivot").agg(F.max("radius").alias("radius")).collect()

@@ -5,8 +5,9 @@ extended by sqrt(M * M - |y|^2) and a query by 0; then |q - y|^2 = |q|^2 + M * M
 the largest inner products are the nearest neighbours, and the triangle inequality holds. Queries and data are
 grouped by the same pivots. From each data group's summary (the k + 1 smallest distances from its pivot) and a query
 group's radius follows a bound within which every query of the group has k neighbours; a data vector is
-copied to a query group only if its distance from that group's pivot allows one of them. Groups are solved locally
-in blocks of ``BLOCK`` data vectors, and the k best of each query and block are merged by a window.
+copied to a query group only if its distance from that group's pivot allows one of them. Groups are solved locally; one with
+more than ``BLOCK`` data vectors or ``QUERIES`` queries is solved as pairs of blocks by different tasks. The k best of each query and
+block are merged by a window.
 
 Scores are exact: products are summed as doubles while every sum stays below 2^53, else as Python's whole numbers
 (ranked in full, clipped to 64 bits at the end).
@@ -18,6 +19,8 @@ is no candidate, and with repeated ids no row of its id is; null ids take no par
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import run_starts, staged, whole_runs
 from .vectors import distances, matrix, pivots, usable
 
-#: Data vectors and queries that meet in one task at a time; queries for each pivot; pivots at most.
-BLOCK, QUERIES, PER_PIVOT, MOST_PIVOTS = 8192, 512, 64, 256
+#: Data vectors and queries that meet in one task at a time; queries scored at a time; queries for each pivot; pivots at most.
+BLOCK, QUERIES, SCORED, PER_PIVOT, MOST_PIVOTS = 8192, 4096, 256, 64, 1024
+#: Vectors whose distances from all pivots are held at a time.
+PLACED = 256
 EXACT = 2.0**53
 
 
@@ -62,26 +67,32 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(top - (x * x).sum(1), 0))
         return x, distances(np.concatenate([x, rest[:, None]], axis=1), shared.value)
 
-    def summary(batches, query: bool):
-        """The largest distance of queries from their pivot, or the k + 1 smallest of data vectors, by group."""
+    def farthest(batches):
+        """By group: the largest distance of queries from their pivot, and how many there are."""
+        most, count = np.full(len(shared.value), -1.0), np.zeros(len(shared.value), dtype=np.int64)
+        for batch in _parts(batches):
+            _, dist = extended(batch.column("vec"), True)
+            home = dist.argmin(1)
+            np.maximum.at(most, home, dist[np.arange(len(dist)), home])
+            count += np.bincount(home, minlength=len(count))
+        g = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(most[g]), pa.array(count[g])], names=["g", "d", "n"])
+
+    def nearest(batches):
+        """By group: the k + 1 smallest distances of data vectors from their pivot."""
         best: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, dist = extended(batch.column("vec"), query)
+        for batch in _parts(batches):
+            _, dist = extended(batch.column("vec"), False)
             home = dist.argmin(1)
             own = dist[np.arange(len(dist)), home]
             for g in np.unique(home).tolist():
-                mine = own[home == g]
-                mine = np.array([mine.max()]) if query else np.partition(mine, min(k, len(mine) - 1))[: k + 1]
-                best[g] = np.concatenate([best.get(g, np.zeros(0)), mine])
-                best[g] = np.array([best[g].max()]) if query else np.sort(best[g])[: k + 1]
+                best[g] = np.sort(np.concatenate([best.get(g, np.zeros(0)), own[home == g]]))[: k + 1]
         if best:
             yield pa.RecordBatch.from_pydict({"g": pa.array([g for g, b in best.items() for _ in b], pa.int32()), "d": np.concatenate(list(best.values()))})
 
-    far = q.mapInArrow(lambda b: summary(b, True), "g int, d double").groupBy("g").agg(F.max("d").alias("d")).collect()
+    far = q.mapInArrow(farthest, "g int, d double, n long").groupBy("g").agg(F.max("d").alias("d"), F.sum("n").alias("n")).collect()
     order = Window.partitionBy("g").orderBy("d")
-    near = d.mapInArrow(lambda b: summary(b, False), "g int, d double").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).collect()
+    near = d.mapInArrow(nearest, "g int, d double").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).collect()
     between = distances(p, p)
     groups = {row.g: row.d for row in far}  # MOST_PIVOTS rows at most
     reach: dict[int, float] = {}  # a data vector of use to the group is at most so far from its pivot
@@ -90,30 +101,41 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
         reach[g] = radius + (bounds[k] if len(bounds) > k else np.inf) + slack
     names = np.array(sorted(reach), dtype=np.int64)
     limits = np.array([reach[g] for g in names.tolist()])
-    blocks = max(1, -(-n // BLOCK))
     exact = float(top) ** 0.5
     fits = exact * max(exact, 1.0) < EXACT
 
-    def spread_data(batches):
-        for batch in batches:
-            if batch.num_rows:
-                _, dist = extended(batch.column("vec"), False)
-                i, c = np.nonzero(dist[:, names] <= limits[None, :])
-                part = batch.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array(names[c]), part.column("id"), part.column("vec")], names=["g", "id", "vec"])
-
-    def spread_queries(batches):
-        for batch in batches:
-            if batch.num_rows:
-                _, dist = extended(batch.column("vec"), True)
-                yield pa.RecordBatch.from_arrays([pa.array(dist.argmin(1).astype(np.int64)), batch.column("id"), batch.column("vec")], names=["g", "id", "vec"])
-
-    schema = f"g long, id {kind}, vec array<double>"
-    of = lambda rows: F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")
-    parts = max(1, -(-nq // QUERIES))
-    every = lambda name, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
-    ys = d.mapInArrow(spread_data, schema).select("*", of(blocks).alias("db"), F.lit(0).alias("side")).select("*", every("qb", parts))
-    xs = q.mapInArrow(spread_queries, schema).select("*", F.lit(1).alias("side"), of(parts).alias("qb")).select("*", every("db", blocks))
+    def useful(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in ``names``) of each copy of a data vector."""
+        return np.nonzero(extended(batch.column("vec"), False)[1][:, names] <= limits[None, :])
+
+    def copies(batches):
+        count = np.zeros(len(names), dtype=np.int64)
+        for batch in _parts(batches):
+            count += np.bincount(useful(batch)[1], minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(count)], names=["c", "n"])
+
+    # how many blocks each group has, of data and of queries
+    data_blocks = np.ones(len(names), dtype=np.int64)
+    for row in d.mapInArrow(copies, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        data_blocks[row.c] = max(1, -(-row.n // BLOCK))
+    asked = {row.g: row.n for row in far}
+    query_blocks = np.array([max(1, -(-asked[g] // QUERIES)) for g in names.tolist()])
+
+    def spread(batches, query: bool):
+        for batch in _parts(batches):
+            if query:
+                i, c = np.arange(batch.num_rows), np.searchsorted(names, extended(batch.column("vec"), True)[1].argmin(1))
+            else:
+                i, c = useful(batch)
+            part = batch.take(pa.array(i))
+            counts = [pa.array(x[c].astype(np.int32)) for x in (data_blocks, query_blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[c]), part.column("id"), part.column("vec"), *counts], names=["g", "id", "vec", "dbs", "qbs"])
+
+    schema = f"g long, id {kind}, vec array<double>, dbs int, qbs int"
+    of = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    ys = d.mapInArrow(lambda b: spread(b, False), schema).select("g", "id", "vec", F.lit(0).alias("side"), of("dbs").alias("db"), every("qbs").alias("qb"))
+    xs = q.mapInArrow(lambda b: spread(b, True), schema).select("g", "id", "vec", F.lit(1).alias("side"), every("dbs").alias("db"), of("qbs").alias("qb"))
     keys = ["g", "db", "qb"]
 
     def solve(batches):
@@ -123,7 +145,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
                 side = table["side"].slice(a, z - a).to_numpy()
                 m = int((side == 0).sum())
                 if m and m < z - a:
-                    yield _best(table.slice(a, m), table.slice(a + m, z - a - m), k, scale, width, fits)
+                    yield from _best(table.slice(a, m), table.slice(a + m, z - a - m), k, scale, width, fits)
 
     met = ys.unionByName(xs).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
     partial = met.mapInArrow(solve, f"query_id {kind}, vec_id {kind}, score long, beyond string")
@@ -132,15 +154,25 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     return staged(best.select("query_id", "rank", "vec_id", "score"), "best")
 
 
-def _best(data: pa.Table, queries: pa.Table, k: int, scale: float, width: int, fits: bool) -> pa.RecordBatch:
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, PLACED):
+            yield batch.slice(a, PLACED)
+
+
+def _best(data: pa.Table, queries: pa.Table, k: int, scale: float, width: int, fits: bool) -> Iterator[pa.RecordBatch]:
     """``data`` is sorted by id, so that among equal scores the first are the smallest ids."""
     y, x = _whole(matrix(data["vec"], width), scale), _whole(matrix(queries["vec"], width), scale)
     ids, asked = data["id"].to_numpy(), queries["id"].to_numpy()
-    if fits and np.abs(x).sum(1).max() * np.abs(y).max(initial=0) < EXACT:
-        score = x @ y.T
-    else:
+    safe = fits and np.abs(x).sum(1).max() * np.abs(y).max(initial=0) < EXACT
+    if not safe:
         whole = lambda m: np.array([[int(v) for v in row] for row in m], dtype=object)
-        score = whole(x) @ whole(y).T
+        x, y = whole(x), whole(y)
+    for a in range(0, len(x), SCORED):
+        yield _picked(x[a : a + SCORED] @ y.T, ids, asked[a : a + SCORED], k)
+
+
+def _picked(score: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> pa.RecordBatch:
     out_q, out_i, out_s = [], [], []
     beyond: list[str | None] = []  # scores of any size as strings in their order
     for row, me in zip(score, asked, strict=True):
