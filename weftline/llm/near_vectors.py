@@ -4,7 +4,8 @@ Equal vectors of a label are one class, with its number of members, before anyth
 representatives are scaled to length 1, where cosine >= t means a Euclidean distance of at most
 r = sqrt(2 - 2 t). Pivots split that space into cells. By the triangle inequality a vector x at distance d(x, p)
 from its own pivot p can have neighbours in the cell of q only if d(x, q) <= d(x, p) + 2 r and
-d(x, q) <= r + (radius of the cell); it is copied there only if q comes after p, so each pair of cells is compared
+d(x, q) <= r + (radius of the cell), and, as x lies at most r beyond the plane halfway between the two pivots,
+(d(x, q)^2 - d(x, p)^2) / (2 d(p, q)) <= r. It is copied there only if q comes after p, so each pair of cells is compared
 once. Cells are independent. A cell of more than ``BLOCK`` rows is compared as pairs of blocks by different tasks.
 
 A task counts links and keeps a spanning forest of those it finds; pairs don't leave it.
@@ -85,6 +86,8 @@ def _join(slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
                 np.maximum.at(most, home, own)
                 continue
             go = (d <= own[:, None] + 2 * r) & (d <= radius[None, :] + r) & (np.arange(len(p))[None, :] > home[:, None])
+            gap = distances(p[home], p)
+            go &= (d * d - own[:, None] ** 2 <= 2 * r * gap + EPS) | (gap < 1e-3)
             go[np.arange(len(d)), home] = True
             i, c = np.nonzero(go)
             part = batch.take(pa.array(i))
