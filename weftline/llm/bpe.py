@@ -31,10 +31,10 @@ from .common import chunks_by_bytes, cols, with_results
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 64
 #: Texts are split into pre-tokens about so many bytes at a time, a longer one alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class PerfectHash:
