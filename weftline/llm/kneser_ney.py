@@ -9,8 +9,8 @@ stay in the shared folder, and scoring workers memory-map them: nothing of the m
 A context with more than ``PART`` tokens (a very frequent word) is split over reducers by its successors. Texts are
 read whole; those of the training share add to the counts, all are scored.
 
-The order is two because the tables of a third order (four of five trigrams of such text occur once) would exceed
-the disk that a scoring run may take; discounts D1, D2, D3+ come from the counts of counts as Chen and Goodman give them.
+The order is two. A third order's tables (by estimate two to three times the disk of these; not built, so not measured) would come near
+the limit of a scoring run; discounts D1, D2, D3+ come from the counts of counts as Chen and Goodman give them.
 
 Nulls and rows: a null text is an empty one, which is scored as its end alone; a null doc_id counts as the empty string where
 the share is drawn, so such rows train; repeated rows count each time; an empty table gives an empty result; without any
