@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (fingerprints of shingles of five words)."""
-    return simhash.keep_one(docs.select(*COLUMNS), width=5)
+    """One document of each group of near-duplicates stays (sets of shingles of five words with a Jaccard similarity of at least 0.8)."""
+    return simhash.keep_one(docs.select(*COLUMNS), width=5, similarity=0.8)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, in turn, each on its own input."""
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -79,3 +80,46 @@ def test_odd_rows_pass(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, docs, "").count() >= 0
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("most", [1024, 4])
+def test_near_copies_down_to_similarity(spark, most):
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(10**6)}"
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(300)]
+        texts.append(base)
+        for changed in range(1 + k % 8):  # Jaccard about 0.97 down to 0.75
+            copy = list(base)
+            for at in np.linspace(10, 290, 1 + changed).astype(int):
+                copy[at] = word()
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, similarity=0.8, most=most).collect())
+    assert got == sorted({top(i) for i in up})
+
+
+def test_stage_drops_a_near_copy_beyond_three_bits(spark):
+    rng = np.random.default_rng(10)
+    base = [f"w{rng.integers(10**6)}" for _ in range(300)]
+    copy = list(base)
+    for at in (30, 90, 150, 210, 270):
+        copy[at] = f"w{rng.integers(10**6)}"
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate((base, copy))]
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() > simhash.BITS
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in cp.near_dedup(spark, docs, "").collect()] == [0]

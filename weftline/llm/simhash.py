@@ -9,6 +9,11 @@ positional bytes are tallied, pairs below five are dropped, and the others are v
 Equal fingerprints are one class before they are indexed. Tasks emit a spanning forest of each list's links, never
 the pairs. A list longer than ``LIST`` is compared as pairs of blocks by different tasks, whole.
 
+``keep_one`` with a similarity doesn't rest on three bits: shingles of Jaccard 0.8 differ in about 9.5 bits, which byte
+positions can't find. There links of the index and equal bands of minimum hashes only propose candidates, which
+are joined to components; each text's set of shingles goes to its component once, where the Jaccard similarities are counted
+exactly. With ``BANDS`` bands of ``ROWS`` hashes a pair at 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS = 0.00007.
+
 Nulls and rows: a null text and a text without words have fingerprint zero and link with each other; fewer words than a
 shingle's are one shingle; a null doc_id takes its component's smallest id, null if it has none; rows, repeated or not, each
 give a row; an empty table gives an empty result; columns named like a result give way.
@@ -25,29 +30,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cols, components, free_name, merge_labels, run_starts, split_hot, staged, whole_runs, with_results
+from .common import chunks_by_bytes, cols, components, free_name, merge_labels, run_starts, split_hot, staged, whole_runs, with_results
 
 SEED = 42
 BITS = 3
 LIST = 4096
 SHARED = 8 - BITS
+#: Bands of minimum hashes, and hashes in each; texts whose sets of shingles meet in one task at a time.
+BANDS, ROWS, SETS = 24, 5, 1024
+_odd = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The fingerprint of a whole text, of shingles of ``width`` words."""
+def shingles(text: str | None, width: int) -> list[int]:
+    """The hash of each shingle of ``width`` words, in order; none without words."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return []
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= width:
-        hashes = [digest(line, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        stops = np.cumsum(sizes + 1) - 1
-        starts = (stops - sizes)[: n - width + 1].tolist()
-        hashes = [digest(line[a:z], SEED) for a, z in zip(starts, stops[width - 1 :].tolist(), strict=True)]
+        return [digest(line, SEED)]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    stops = np.cumsum(sizes + 1) - 1
+    starts = (stops - sizes)[: n - width + 1].tolist()
+    return [digest(line[a:z], SEED) for a, z in zip(starts, stops[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint of a whole text, of shingles of ``width`` words."""
+    hashes = shingles(text, width)
+    if not hashes:
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for a in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[a : a + (1 << 16)], dtype="<u8")
@@ -145,20 +159,139 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return rows.join(facts, F.col(fp) == F.col("k_")).select(*cols(base), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+def bands(found: np.ndarray) -> list[int]:
+    """A key for each band of minimum hashes of a set of shingles; equal sets have equal keys."""
+    least = np.full(len(_odd), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(found), 4096):
+        part = found[a : a + 4096]
+        np.minimum(least, ((part ^ (part >> np.uint64(32)))[None, :] * _odd[:, None]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh3_64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)]
+
+
+def _set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; a text without words has one of its own."""
+    return np.unique(np.array(shingles(text, width) or [0], dtype=np.uint64))
+
+
+def _with_bands(slim: DataFrame, width: int) -> DataFrame:
+    """(id, h, fp, bands) of each row of (id, h, t)."""
+    schema = T.StructType([*slim.select("id", "h").schema.fields, T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, keys = [], []
+            for t in batch.column("t"):
+                text = t.as_py()
+                prints.append(fingerprint(text, width))
+                keys += bands(_set(text, width))
+            flat = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
+            lists_ = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), flat)
+            signed = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), signed, lists_], names=schema.names)
+
+    return slim.select("id", "h", "t").mapInArrow(run, schema)
+
+
+def _candidates(reps: DataFrame) -> DataFrame:
+    """(node, root): components of texts ``h`` that the index or an equal band proposes."""
+    keyed = staged(reps.select(F.explode("bands").alias("key"), "h"), "bands")
+    shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("dst")).filter("n > 1").drop("n"), "shared")
+    by_band = keyed.join(shared, "key").select(F.col("h").alias("src"), "dst")
+    near = staged(reps.select("h", "fp").join(classes(reps), "fp").select("h", "root"), "near")
+    by_print = near.join(near.groupBy("root").agg(F.min("h").alias("dst")), "root").select(F.col("h").alias("src"), "dst")
+    return components(by_band.unionByName(by_print))
+
+
+def _verified(slim: DataFrame, members: DataFrame, width: int, similarity: float, most: int) -> DataFrame:
+    """(src, dst) of forests that span the pairs of texts of a component whose sets of shingles are similar enough."""
+    mine = slim.join(members, slim["id"].eqNullSafe(members["id_"]) & (slim["h"] == members["h_"])).select("root", "h", "t")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in chunks_by_bytes(batch.column("t")):
+                part = batch.slice(a, z - a)
+                found = [_set(t.as_py(), width).tobytes() for t in part.column("t")]
+                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("h"), pa.array(found, pa.binary())], names=["root", "h", "found"])
+
+    held = staged(mine.mapInArrow(sets, "root long, h long, found binary"), "sets")
+    keys = ["root", "bi", "bj"]
+    dealt = split_hot(held, "root", "h", most).repartition(*keys).sortWithinPartitions(*keys, "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, keys, 1024):
+            starts = run_starts(table, keys).tolist()
+            for a, z in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                yield _alike(table.slice(a, z - a), similarity)
+
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
+def _alike(run: pa.Table, similarity: float) -> pa.RecordBatch:
+    """A spanning forest of the pairs of one component, or pair of blocks, with at least ``similarity``: from each text's
+    shingles follow, by their postings, the numbers of shingles shared with every other text."""
+    node, block = run["h"].to_numpy(), run["block"].to_numpy()
+    apart = run["bi"][0].as_py() != run["bj"][0].as_py()
+    sets = [np.frombuffer(b, dtype=np.uint64) for b in run["found"].to_pylist()]
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(place, kind="stable")]
+    counts = np.bincount(place)
+    begin = np.cumsum(counts) - counts
+    first = np.cumsum(sizes) - sizes
+    label = np.arange(n)
+    for i in range(n - 1):
+        if (label[i:] == label[i]).all():
+            continue
+        mine = place[first[i] : first[i] + sizes[i]]
+        many = counts[mine]
+        at = np.arange(many.sum()) + np.repeat(begin[mine] - np.cumsum(many) + many, many)
+        both = np.bincount(owner[at], minlength=n)
+        hit = both / (sizes + sizes[i] - both) >= similarity
+        if apart:
+            hit &= block != block[i]
+        hit[: i + 1] = False
+        j = np.flatnonzero(hit)
+        if len(j):
+            label = merge_labels(label, np.full(len(j), i), j)
+    linked = np.flatnonzero(label != np.arange(n))
+    return pa.RecordBatch.from_arrays([pa.array(node[label[linked]]), pa.array(node[linked])], names=["src", "dst"])
+
+
+def _first_of_similar(slim: DataFrame, width: int, similarity: float, most: int) -> DataFrame:
+    """(id_, h_) of the row that stays of each group of texts linked by similar sets of shingles."""
+    rows = staged(_with_bands(slim, width), "rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("best")
+    reps = staged(rows.groupBy("h").agg(best, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "reps")
+    near = _candidates(reps)
+    members = staged(reps.join(near.withColumnRenamed("node", "h"), "h").select(F.col("best.id").alias("id_"), F.col("h").alias("h_"), "root"), "members")
+    roots = components(_verified(slim, members, width, similarity, most)).withColumnRenamed("node", "h")
+    first = reps.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("best").alias("best"))
+    return first.select(F.col("best.id").alias("id_"), F.col("best.h").alias("h_"))
+
+
+def _first_of_linked(slim: DataFrame, width: int) -> DataFrame:
+    """(id_, h_) of the row that stays of each group of texts linked by their fingerprints."""
+    rows = staged(with_fingerprints(slim, "t", width, "fp"), "rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("best")
+    both = classes(rows).join(rows.groupBy("fp").agg(best), "fp")
+    first = both.groupBy("root").agg(F.min("best").alias("best"))
+    return first.select(F.col("best.id").alias("id_"), F.col("best.h").alias("h_"))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float | None = None, most: int = SETS) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: of smallest id (null last), then of smallest text hash.
 
+    Near-duplicates are texts whose fingerprints differ in at most three bits, or with ``similarity`` those whose sets of
+    shingles have at least that Jaccard similarity; links through other texts count.
+
     Decisions are made on a narrow table of (id, hash of text, fingerprint); rows are then picked by id and hash, and
     of repeated rows (same id, same text) one stays.
     """
     key, many = free_name(df, "key_"), free_name(df, "n_")
     h = F.xxhash64(F.col(f"`{text}`"))
     slim = df.select(F.col(f"`{doc_id}`").alias("id"), h.alias("h"), F.col(f"`{text}`").alias("t"))
-    rows = staged(with_fingerprints(slim, "t", width, "fp"), "rows")
-    best = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("best")
-    both = classes(rows).join(rows.groupBy("fp").agg(best), "fp")
-    first = both.groupBy("root").agg(F.min("best").alias("best"))
-    stay = staged(first.select(F.col("best.id").alias("id_"), F.col("best.h").alias("h_")), "stay")
+    stay = staged(_first_of_linked(slim, width) if similarity is None else _first_of_similar(slim, width, similarity, most), "stay")
     wide = df.withColumn(key, h)
     kept = wide.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("id_")) & (F.col(key) == F.col("h_")), "left_semi")
     from pyspark.sql import Window
