@@ -324,6 +324,32 @@ def test_planted_passage(spark):
     assert got[3].kept_text == "Start of number 3 with its own words here. And an end that is document 3 alone."
 
 
+@pytest.mark.parametrize("stops", [(), (24, 26), (11, 22, 33, 44), (20,)])
+@pytest.mark.parametrize("comma", [(), (12, 38)])
+def test_every_passage_of_fifty_words_repeats(stops, comma):
+    rng = np.random.default_rng(11)
+    for k in range(40):
+        words = [f"p{rng.integers(10**6)}" + ("." if i + 1 in stops else "," if i + 1 in comma else "") for i in range(50)]
+        hashes = []
+        for host in range(2):
+            around = [f"h{rng.integers(10**6)}" for _ in range(2 * int(rng.integers(0, 30)))]
+            half = len(around) // 2
+            text = " ".join([*around[:half], *words, *around[half:]])
+            hashes.append({h for h, _, _ in span_dedup.spans(text, span_dedup.sentences(text))})
+        assert hashes[0] & hashes[1]
+
+
+def test_scripts_without_spaces(spark):
+    rng = np.random.default_rng(12)
+    han = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, n))
+    passage = han(60)
+    assert len(span_dedup.sentences("\u4e00" * 5 + "\u3002" + "\u4e01" * 5 + "\uff1f")) == 2
+    rows = [(k, f"{han(15)}{passage}{han(15)}") for k in range(2)] + [(k, "one sentence of words " + " ".join(f"v{i}" for i in range(50))) for k in (2, 3)]
+    got = {r.doc_id: r for r in span_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].kept_text == rows[0][1] and got[1].n_removed and got[1].kept_in == [0] and got[2].n_removed == 0
+    assert got[3].kept_text == "" and got[3].kept_in == [2]
+
+
 def test_spans_odd(odd, none):
     got = span_dedup.remove(odd.withColumn("Removed", F.lit(1)).withColumn("span", F.lit(2))).collect()
     assert len(got) == len(ODD) and sum(r.kept_text is None for r in got) == 2 and all(r.n_removed == 0 for r in got if r.doc_id == 4)

@@ -1,7 +1,10 @@
 """Operator 5: substring dedup by sliding sentence spans.
 
-Texts are split into sentences (at ``.``, ``!``, ``?`` before white space, and at line ends; a sentence of more than
-``LONG`` words also at its commas, semicolons and colons). From every sentence starts one span: the shortest run of
+Texts are split into sentences (at ``.``, ``!``, ``?`` before white space, at the full stops of other scripts, and at line ends; a
+sentence of more than ``LONG`` words also at its commas, semicolons and colons, and what is still longer at words that have the
+smallest hash of some ``WINDOW`` consecutive words, which depends on near words only). A character of a script without spaces
+counts as a word. So every passage of 50 words holds a span, whatever surrounds it: at most ``LONG`` words at either end
+belong to pieces that depend on the surroundings, and a span behind them has less than ``WORDS`` + ``LONG`` words. From every sentence starts one span: the shortest run of
 at least ``SENTENCES`` consecutive sentences with at least ``WORDS`` words in all. Spans are hashed (lower case, single
 spaces) and joined globally. Of each repeated span the first occurrence stays, by doc_id, then text hash, then
 place; every sentence covered by another occurrence is removed.
@@ -17,6 +20,7 @@ name gives way.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +32,59 @@ from pyspark.sql import types as T
 
 from .common import chunks_by_bytes, free_name, staged, with_results
 
-SENTENCES, WORDS, LONG = 2, 16, 24
-_ends = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_pauses = re.compile(r"(?<=[,;:])\s+")
+SENTENCES, WORDS, LONG, WINDOW = 2, 16, 11, 6
+_ends = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\u0964\u0965])(?![\u3002\uff01\uff1f\u0964\u0965])\s*|\s*\n\s*")
+_pauses = re.compile(r"(?<=[,;:])\s+|(?<=[\u3001\uff0c\uff1b\uff1a])\s*")
+#: The same for texts without the marks of other scripts; as they begin with white space, the search is faster.
+_plain_ends, _plain_pauses = re.compile(r"\s(?:(?<=[.!?].)\s*|(?<=\n)\s*|\s*\n\s*)", re.S), re.compile(r"\s(?<=[,;:].)\s*", re.S)
+_wide = re.compile(r"[\u0964\u0965\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
+#: Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han.
+_unspaced = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_has_unspaced = re.compile(f"[{_unspaced}]")
+_spaced_word, _word = re.compile(r"\S+"), re.compile(rf"[{_unspaced}]|[^\s{_unspaced}]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of each sentence, in order; what separates them belongs to none."""
     out = []
-    for a, z in _pieces(_ends, text, 0, len(text)):
-        words = len(text[a:z].split())
-        if words > LONG:
-            out += [(b, y, len(text[b:y].split())) for b, y in _pieces(_pauses, text, a, z)]
-        elif words:
+    spaced = text.isascii() or _has_unspaced.search(text) is None
+    ends, pauses = (_plain_ends, _plain_pauses) if text.isascii() or _wide.search(text) is None else (_ends, _pauses)
+    count = lambda a, z: len(text[a:z].split() if spaced else _word.findall(text, a, z))
+    for a, z in _pieces(ends, text, 0, len(text)):
+        words = count(a, z)
+        if words <= LONG:
             out.append((a, z, words))
+            continue
+        for b, y in _pieces(pauses, text, a, z):
+            if (b, y) != (a, z):
+                words = count(b, y)
+            if words > LONG:
+                out += _cut(text, b, y, _spaced_word if spaced else _word)
+            else:
+                out.append((b, y, words))
     return [s for s in out if s[2]]
 
 
+def _cut(text: str, start: int, end: int, word: re.Pattern) -> list[tuple[int, int, int]]:
+    """Pieces that begin at words with the smallest hash of some ``WINDOW`` consecutive words, the last of equal ones."""
+    found = [m.span() for m in word.finditer(text, start, end)]
+    hashes = [zlib.crc32(w.encode("utf-8", "replace")) for w in word.findall(text[start:end].lower())]
+    if len(hashes) != len(found):  # lower case of a letter of more than one
+        hashes = [zlib.crc32(text[a:z].lower().encode("utf-8", "replace")) for a, z in found]
+    at, least = [0], 0
+    for i, h in enumerate(hashes):
+        if h <= hashes[least]:
+            least = i
+        elif least <= i - WINDOW:
+            least = i
+            for j in range(i - 1, i - WINDOW, -1):
+                if hashes[j] < hashes[least]:
+                    least = j
+        if i >= WINDOW - 1 and least > at[-1]:
+            at.append(least)
+    return [(found[a][0], found[z - 1][1], z - a) for a, z in zip(at, [*at[1:], len(found)], strict=True)]
+
+
 def _pieces(mark: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     at = start
     for m in mark.finditer(text, start, end):
