@@ -253,6 +253,16 @@ def test_near_vectors(spark, monkeypatch, block):
     assert got == _links(rows)
 
 
+def test_near_vectors_of_mixed_lengths(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "PLACED", 4)
+    monkeypatch.setattr(near_vectors, "PER_PIVOT", 1000)
+    rng = np.random.default_rng(13)
+    rows = [(i, [1.0, 0.5, 0.25, *(0.01 * rng.random(1 + i % 3 % 2 * 4)).tolist()], "a") for i in range(40)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    short, long = ([i for i, v, _ in rows if len(v) == n] for n in (4, 8))
+    assert got == {i: (len(g) - 1, min(g)) for g in (short, long) for i in g}
+
+
 def test_near_vectors_odd(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors.link(none).count() == 0

@@ -67,7 +67,7 @@ def _join(slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
     # pivots of all lengths of vectors are compared in one space, shorter ones filled with zeros
     shared = spark.sparkContext.broadcast(centers)
-    schema = "cell long, home int, vec array<double>, label " + slim.schema["label"].dataType.simpleString() + ", node long, members long"
+    schema = "cell long, home int, width int, vec array<double>, label " + slim.schema["label"].dataType.simpleString() + ", node long, members long"
 
     def assign(batches, radius=None):
         p = shared.value
@@ -93,20 +93,20 @@ def _join(slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             part = batch.take(pa.array(i))
             unit = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(i) + 1) * x.shape[1], x.shape[1]), pa.int32()), pa.array(x[i].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64)), pa.array((c == home[i]).astype(np.int32)), unit, part.column("label"), part.column("node"), part.column("members")],
-                names=["cell", "home", "vec", "label", "node", "members"],
+                [pa.array(c.astype(np.int64)), pa.array((c == home[i]).astype(np.int32)), part.column("width"), unit, part.column("label"), part.column("node"), part.column("members")],
+                names=["cell", "home", "width", "vec", "label", "node", "members"],
             )
         if radius is None:
             g = np.flatnonzero(most >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(most[g])], names=["pivot", "radius"])
 
-    source = slim.select("vec", "label", "node", "members")
+    source = slim.select("vec", "label", "node", "members", F.size("vec").alias("width"))  # before zeros fill it
     found = source.mapInArrow(lambda b: assign(b), "pivot int, radius double").groupBy("pivot").agg(F.max("radius").alias("radius")).collect()
     radius = np.full(len(centers), EPS)
     for row in found:  # at most MOST_PIVOTS
         radius[row.pivot] = row.radius + EPS
     placed = source.mapInArrow(lambda b: assign(b, radius), schema)
-    placed = placed.withColumn("cell", F.xxhash64("cell", "label", F.size("vec")))
+    placed = placed.withColumn("cell", F.xxhash64("cell", "label", "width"))
     dealt = split_hot(staged(placed, "cells"), "cell", "node", BLOCK)
     keys = ["cell", "bi", "bj"]
 
