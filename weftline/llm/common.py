@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ _SCRATCH: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests) gets a folder of our own; on a cluster the setting
-    names storage that the driver and every executor see.
+    Only a local session without that setting (tests) gets a folder of our own. On a cluster the setting names storage
+    that the driver and every executor see; without it there is no such place, and that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to storage that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="weftline-")
             spark.sparkContext.setCheckpointDir(base)
         _SCRATCH[app] = f"{base.rstrip('/')}/weftline-{app}"
@@ -148,7 +151,10 @@ def run_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     new[:1] = True
     for k in keys:
         v = table[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
+        differ = v[1:] != v[:-1]
+        if v.dtype.kind == "f":
+            differ &= ~(np.isnan(v[1:]) & np.isnan(v[:-1]))  # Spark's keys hold NaN equal to itself
+        new[1:] |= differ
     return np.flatnonzero(new)
 
 
@@ -168,24 +174,25 @@ def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = nxt
 
 
-def split_hot(rows: DataFrame, key: str, spread: str, most: int, small_list: int = 100_000) -> DataFrame:
+def split_hot(rows: DataFrame, key: str | list[str], spread: str, most: int, small_list: int = 100_000, weight: str | None = None) -> DataFrame:
     """``rows`` with ``bi``, ``bj`` and ``block``, such that every two rows of a key meet in exactly one (key, bi, bj).
 
     A key of up to ``most`` rows stays whole (bi = bj = block = 0). The rows of a larger one are dealt by the
     hash of the long ``spread`` to blocks of about ``most`` rows; the rows of one block meet where bi = bj,
-    those of two blocks where bi < bj, and there rows of one block aren't to be compared. The list of larger keys is
-    broadcast only when counted and short; a longer one is joined by shuffling.
+    those of two blocks where bi < bj, and there rows of one block aren't to be compared. With ``weight``, ``most`` bounds its sum
+    instead of the number of rows. The list of larger keys is broadcast only when counted and short; a longer one is joined
+    by shuffling.
     """
-    hot = staged(rows.groupBy(key).count().filter(F.col("count") > most), "hot")
+    key = [key] if isinstance(key, str) else key
+    held = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hot = staged(rows.groupBy(*key).agg(held.alias("held_")).filter(F.col("held_") > most).select(*key, F.ceil(F.col("held_") / most).cast("int").alias("nb")), "hot")
     n = hot.count()
     whole = lambda df: df.withColumns({x: F.lit(0) for x in ("bi", "bj", "block")})
     if not n:
         return whole(rows)
     listed = F.broadcast(hot) if n <= small_list else hot
-    blocks = F.ceil(F.col("count") / most).cast("int")
     dealt = (
         rows.join(listed, key)
-        .withColumn("nb", blocks)
         .withColumn("block", F.pmod(F.xxhash64(spread), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("bi", F.least("block", "other"))
@@ -225,6 +232,3 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     if found is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found
-
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
