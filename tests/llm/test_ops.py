@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, the library it imitates, or held-out accuracy; then the odd cases."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -393,6 +394,47 @@ def test_codewords_differ(k):
     assert len(m) == k and len({tuple(r) for r in m.tolist()}) == k and not (abs(m.sum(0)) == k).any()
 
 
+@pytest.mark.parametrize(("languages", "bits"), [(2, 1), (3, 5), (12, 30), (70, 60)])
+def test_decoding_is_that_of_all_codewords(languages, bits):
+    rng = np.random.default_rng(languages)
+    m = langid.Model([], np.zeros((0, langid.WIDTH)), np.zeros(0, dtype=int))
+    m.code, m.bit = rng.choice([-1.0, 1.0], (languages, bits)), rng.uniform(0.5, 1, bits)
+    unclear = 0
+    for f in rng.normal(0, 0.3, (200, bits)):
+        loss = [sum(w * math.log1p(math.exp(-c * v)) for w, c, v in zip(m.bit, word, f)) for word in m.code]
+        part = [math.exp(-x) for x in loss]
+        order = sorted(range(languages), key=lambda c: (loss[c], c))
+        best, score, flag = m.decode(f)
+        assert best == order[0] and score == pytest.approx(part[best] / sum(part))
+        assert flag == (part[best] < langid.CLEAR * (part[best] + part[order[1]]))
+        unclear += flag
+    assert 0 < unclear < 200
+
+
+def test_numerals_are_no_letters(spark, docs):
+    more = spark.createDataFrame([(10**6 + i, t, "en", "x", 1) for i, t in enumerate(["\u00bd \u00b2", "\u2167", "\u2460\u2461", "12", "_"])], SCHEMA)
+    got = langid.digests(docs.unionByName(more)).filter(F.col("doc_id") >= 10**6).collect()
+    assert len(got) == 5 and {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """One id, and one whole row, repeated far beyond the sample; then more languages than fit evenly."""
+    seen = []
+    init = langid.Model.__init__
+    monkeypatch.setattr(langid.Model, "__init__", lambda self, names, x, y: (seen.append((names, np.bincount(y, minlength=len(names)))), init(self, names, x, y))[1])
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    monkeypatch.setattr(langid, "STEPS", 1)
+    spread = spark.range(3000).select(F.lit(5).alias("doc_id"), F.concat(F.lit("text no "), "id").alias("text"), F.lit("aa").alias("lang"))
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("always this").alias("text"), F.lit("bb").alias("lang"))
+    langid.fit(spread.unionByName(same), F.lit(False))
+    names, counts = seen.pop()
+    assert names == ["aa", "bb"] and counts.tolist() == [20, 20]
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("words").alias("text"), F.format_string("l%02d", F.col("id") % 30).alias("lang"))
+    langid.fit(many, F.lit(False))
+    names, counts = seen.pop()
+    assert len(names) == 30 and counts.sum() <= 40 and set(counts.tolist()) == {1}
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

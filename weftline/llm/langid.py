@@ -5,11 +5,11 @@ A text's scores are decoded to the language whose codeword loses least (logistic
 classifier does on the sample), and a text whose two best languages lose nearly alike is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample: at most ``SAMPLE`` labelled documents in all, shared evenly by the
-languages and chosen by the hash of their ids, so reruns agree. Only that sample's n-gram shares (``WIDTH`` numbers a
-document at most) reach the driver; the fitted weights are broadcast (``WIDTH`` x bits, below 1 MB for up to 30 bits). All texts are
+languages and chosen by the hash of their ids and texts, so reruns agree; repeated rows count as often as they occur, within the same
+bound. Only that sample's n-gram shares (``WIDTH`` numbers a document at most) reach the driver; the fitted weights are broadcast (``WIDTH`` x bits, below 1 MB for up to 30 bits). All texts are
 read whole, in place, without a shuffle.
 
-Nulls and rows: a null text or one without a letter is ``und`` with score 0, not ambiguous; rows with a null language or
+Nulls and rows: a null text or one without a letter (numerals as of fractions and Roman ones aren't letters) is ``und`` with score 0, not ambiguous; rows with a null language or
 id train nothing; with one known language every text with letters gets it; without any, all are ``und``; an empty table gives
 an empty result; columns named like a result give way.
 """
@@ -21,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,7 @@ STEPS, RIDGE = 300, 1e-4
 #: A text is ambiguous if its best language gets less than this share of both the best two get.
 CLEAR = 0.52
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 
 
 def grams(raw: bytes) -> np.ndarray:
@@ -106,6 +107,14 @@ class Model:
         self.w = (w * scale[:, None] / np.sqrt(max(z.shape[1], 1))).astype(np.float32)
         self.shift = (shift - mean @ self.w).astype(np.float32)
 
+    def decode(self, f: np.ndarray) -> tuple[int, float, bool]:
+        """The language whose codeword loses least for the bits' scores ``f``, its share, and whether the second is near."""
+        loss = (np.logaddexp(0, -self.code * f[None, :]) * self.bit).sum(1)
+        p = np.exp(-(loss - loss.min()))
+        p /= p.sum()
+        a, b = np.argsort(-p, kind="stable")[:2]
+        return int(a), float(p[a]), bool(p[a] < CLEAR * (p[a] + p[b]))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         n = len(texts)
         names, score, unclear = [UNKNOWN] * n, np.zeros(n), np.zeros(n, dtype=bool)
@@ -121,12 +130,8 @@ class Model:
             else:
                 f = self.w[k].sum(0)
             f = f / len(k) + self.shift
-            loss = (np.logaddexp(0, -self.code * f[None, :]) * self.bit).sum(1)
-            p = np.exp(-(loss - loss.min()))
-            p /= p.sum()
-            a, b = np.argsort(-p, kind="stable")[:2]
-            names[i], score[i] = self.languages[a], float(p[a])
-            unclear[i] = p[a] < CLEAR * (p[a] + p[b])
+            best, score[i], unclear[i] = self.decode(f)
+            names[i] = self.languages[best]
         return names, score, unclear
 
 
@@ -136,24 +141,21 @@ def bucket(doc_id: str) -> Column:
 
 def fit(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a sample of the rows of known language that aren't ``held_out``."""
-    rows = df.filter(~held_out & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
-    known = rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(SAMPLE + 1).collect()}
-    if len(counts) > SAMPLE:
+    rows = df.filter(~held_out & F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
+    names = F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.lit("sample"), f"`{doc_id}`", f"`{text}`").alias("draw")
+    known = rows.select(*names, F.col(f"`{text}`").alias("text"))
+    found = known.select("lang").distinct().orderBy("lang").limit(SAMPLE + 1).collect()
+    languages = [r.lang for r in found]
+    if len(languages) > SAMPLE:
         raise ValueError(f"more than {SAMPLE} languages, the bound of the sample")
-    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, WIDTH), dtype=np.float32), np.zeros(0, dtype=np.int64))
-    each = max(1, SAMPLE // len(languages))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30))
-    # a share of each language that holds a little more than its part, then exactly that part at most
-    limit = F.lit(0)
-    for name, n in counts.items():
-        limit = F.when(F.col("lang") == name, F.lit(int(min(1.0, (each * 1.3 + 20) / n) * (1 << 30)))).otherwise(limit)
-    fields = T.StructType([
-        T.StructField("id", known.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("draw", T.LongType()),
-        T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType()),
-    ])
+    each = SAMPLE // len(languages)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    # the largest draw that is taken in each language, found without texts; then the rows up to it, again ``each`` at most
+    last = known.select("lang", "draw").withColumn("n", first).filter(F.col("n") <= each).groupBy("lang").agg(F.max("draw").alias("last"))
+    drawn = known.join(F.broadcast(last), "lang").filter("draw <= last").withColumn("n", first).filter(F.col("n") <= each).select("lang", "draw", "text")
+    fields = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())])
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,20 +164,14 @@ def fit(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "te
                 k, c = np.unique(grams(prepared(t)), return_counts=True)
                 at.append(k.astype("<u2").tobytes())
                 share.append((c / max(1, c.sum())).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lang"), batch.column("draw"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=fields.names
-            )
-
-    drawn = known.withColumn("draw", draw).filter(F.col("draw") < limit).select("id", "lang", "draw", "text").filter(F.col("text").rlike(r"\p{L}"))
-    got = sorted(drawn.mapInArrow(shares, fields).collect(), key=lambda r: (r.lang, r.draw, str(r.id)))
-    taken, x, y = dict.fromkeys(languages, 0), [], []
-    for r in got:
-        if taken[r.lang] < each:
-            taken[r.lang] += 1
-            row = np.zeros(WIDTH, dtype=np.float32)
-            row[np.frombuffer(r["at"], dtype="<u2")] = np.frombuffer(r["share"], dtype="<f4")
-            x.append(row)
-            y.append(r.lang)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=fields.names)
+
+    x, y = [], []
+    for r in sorted(drawn.mapInArrow(shares, fields).collect(), key=lambda r: (r.lang, r.draw)):  # SAMPLE rows at most
+        row = np.zeros(WIDTH, dtype=np.float32)
+        row[np.frombuffer(r["at"], dtype="<u2")] = np.frombuffer(r["share"], dtype="<f4")
+        x.append(row)
+        y.append(r.lang)
     present = sorted(set(y))
     index = {name: i for i, name in enumerate(present)}
     return Model(present, np.array(x, dtype=np.float32).reshape(len(x), WIDTH), np.array([index[v] for v in y], dtype=np.int64))
