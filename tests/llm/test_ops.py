@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -240,28 +241,59 @@ def _links(rows, t=0.93):
     return {r[0]: (len(near[r[0]]), comp[r[0]], comp[r[0]] == r[0]) for r in rows}
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_near_vectors(spark, monkeypatch, block):
-    monkeypatch.setattr(near_vectors, "BLOCK", block)  # at 16 cells are compared as pairs of blocks
-    monkeypatch.setattr(near_vectors, "PER_PIVOT", 40)
+@pytest.mark.parametrize(("numbers", "labels"), [(1 << 19, 3), (400, 1), (400, 3), (64, 7), (80, 400)])
+def test_near_vectors(spark, monkeypatch, numbers, labels):
+    """At few numbers a block, groups are split into cells by pivots, and these are compared as pairs of blocks."""
+    monkeypatch.setattr(near_vectors, "NUMBERS", numbers)
     rng = np.random.default_rng(3)
+    chosen, choose = [], near_vectors.choose
+    monkeypatch.setattr(near_vectors, "choose", lambda *a: chosen.append(len(choose(*a))) or choose(*a))
     centers = rng.normal(size=(6, 8))
-    rows = [(i, (centers[i % 6] + rng.normal(size=8) * 0.12 * (i % 4)).astype(np.float32).tolist(), i % 3) for i in range(240)]
+    rows = [(i, (centers[i % 6] + rng.normal(size=8) * 0.12 * (i % 4)).astype(np.float32).tolist(), i // 6 % labels) for i in range(240)]
     rows += [(300 + i, rows[7][1], rows[7][2]) for i in range(90)]  # a third are copies
     rows += [(400, None, 1), (401, [0.0] * 8, 1), (402, [float("nan")] + [1.0] * 7, 1), (403, rows[3][1], None), (404, [None] + [1.0] * 7, 1), (405, [1.0, 2.0], 1), (406, [2.0, 4.0], 1), (407, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.link(df).collect()}
     assert got == _links(rows)
+    assert bool(chosen) == (numbers < 1000 and labels < 400)
+    assert numbers != 400 or labels != 1 or chosen[0] > 1
+
+
+def test_near_vectors_without_clusters(spark, monkeypatch):
+    """Where pivots don't prune there is one, and a group is dealt in blocks."""
+    monkeypatch.setattr(near_vectors, "NUMBERS", 64 * 50)
+    rng = np.random.default_rng(5)
+    sample = near_vectors._unit(rng.normal(size=(400, 64)))
+    assert len(near_vectors.choose(sample, 1000, 0.374, 200)) == 1
+    rows = [(i, rng.normal(size=64).tolist(), "b") for i in range(300)]
+    rows += [(1000 + i, (np.array(rows[i][1]) * 3 + rng.normal(size=64) * 0.6).tolist(), "b") for i in range(0, 300, 4)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == _links(rows) and sum(n for n, _, _ in got.values()) > 50
+
+
+def test_near_vectors_at_the_threshold():
+    """Products that single precision can't tell from the threshold are computed in double precision."""
+    t, rng = 0.93, np.random.default_rng(8)
+    base = near_vectors._unit(rng.normal(size=(1, 32)))[0]
+    other = rng.normal(size=32)
+    other -= other @ base * base
+    other /= np.linalg.norm(other)
+    turned = [c * base + np.sqrt(1 - c * c) * other for c in t + np.array([-3e-9, 3e-9, -1e-12, 1e-12, -1e-3, 1e-3])]
+    n = len(turned) + 1
+    cell = pa.table({"vec": [base.tolist(), *(v.tolist() for v in turned)], "node": np.arange(n), "members": np.ones(n, dtype=np.int64), "home": np.ones(n), "block": np.zeros(n), "bi": np.zeros(n), "bj": np.zeros(n)})
+    got = {i: k for b in near_vectors._links(cell, t, np.sqrt(2 - 2 * t)) for i, k in zip(b["node"].to_pylist(), b["near"].to_pylist(), strict=True) if i is not None}
+    assert got[0] == 3
 
 
 def test_near_vectors_of_mixed_lengths(spark, monkeypatch):
-    monkeypatch.setattr(near_vectors, "PLACED", 4)
-    monkeypatch.setattr(near_vectors, "PER_PIVOT", 1000)
     rng = np.random.default_rng(13)
     rows = [(i, [1.0, 0.5, 0.25, *(0.01 * rng.random(1 + i % 3 % 2 * 4)).tolist()], "a") for i in range(40)]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     short, long = ([i for i, v, _ in rows if len(v) == n] for n in (4, 8))
-    assert got == {i: (len(g) - 1, min(g)) for g in (short, long) for i in g}
+    for numbers in (1 << 19, 64):
+        monkeypatch.setattr(near_vectors, "NUMBERS", numbers)
+        monkeypatch.setattr(near_vectors, "PLACED", 4)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+        assert got == {i: (len(g) - 1, min(g)) for g in (short, long) for i in g}
 
 
 def test_near_vectors_odd(spark):
