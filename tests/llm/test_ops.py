@@ -304,7 +304,7 @@ def test_near_vectors_odd(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept, r.node) for r in got) == [(0, 0, 0, True, 6), (0, 2, 1, False, 7), (1, 2, 1, True, 8), (1, 2, 1, True, 9)]
 
 
-@pytest.mark.parametrize("scale", [1024.0, 3.0e12])
+@pytest.mark.parametrize("scale", [1024.0, 1.0e8, 3.0e12])
 def test_topk(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "BLOCK", 60)
     monkeypatch.setattr(topk, "PER_PIVOT", 5)
@@ -325,11 +325,54 @@ def test_topk(spark, monkeypatch, scale):
     assert set(got) == {i for i in whole if i % 20 == 0}
 
 
+def test_topk_of_clusters_prunes(spark, monkeypatch):
+    """Groups of far queries aren't joined, and data vectors go only where they are of use."""
+    for name, n in (("PER_PIVOT", 2), ("BLOCK", 50)):
+        monkeypatch.setattr(topk, name, n)
+    teams, together = [], topk.together
+    monkeypatch.setattr(topk, "together", lambda *a: teams.append(together(*a)) or teams[-1])
+    rng = np.random.default_rng(6)
+    x = np.eye(16)[np.arange(640) % 16] * 8 + rng.normal(size=(640, 16)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.search(df, df.filter("vec_id % 7 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = np.floor(x * 1024).astype(np.int64)
+    for q in range(0, 640, 7):
+        s = whole @ whole[q]
+        assert got[q] == [(i, s[i]) for i in sorted((i for i in range(640) if i != q), key=lambda i: (-s[i], i))[:10]]
+    assert len(got) == 92 and teams[0].max() > 2
+
+
+def test_teams():
+    needs = np.zeros((100, 6), dtype=bool)
+    needs[:, 0] = needs[:, 1] = True
+    needs[:40, 2] = needs[:42, 3] = needs[90:, 4] = needs[91:, 5] = True
+    team = topk.together(needs, np.array([5, 5, 50, 50, 50, 50]))
+    assert team[0] == team[1] and team[2] == team[3] and team[4] == team[5] and len(set(team.tolist())) == 3
+    assert len(set(topk.together(needs[:, :2], np.array([topk.QUERIES, 1])).tolist())) == 2
+
+
+def test_topk_of_repeated_ids(spark, monkeypatch):
+    """Own rows, however many and however near, don't stand for neighbours."""
+    monkeypatch.setattr(topk, "PER_PIVOT", 1)
+    monkeypatch.setattr(topk, "BLOCK", 30)
+    rng = np.random.default_rng(7)
+    rows = [(0, [4.0, 4.0, 4.0])] * 40 + [(1, [4.0, 4.0, 3.9])] * 3 + [(i, rng.normal(size=3).tolist()) for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.search(df, df.filter("vec_id = 0").limit(1)).orderBy("rank").collect()]
+    want = sorted((-sum(math.floor(a * 1024) * 4096 for a in v), i) for i, v in rows if i)[:10]
+    assert got == [(i, -s) for s, i in want] and [i for i, _ in got[:3]] == [1, 1, 1]
+
+
 def test_topk_odd(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(none, none).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (None, [3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
+    clash = few.selectExpr("vec_id", "embedding", "1 as rank", "2 as score", "3 as Query_ID", "4 as g", "5 as vec")
+    assert [tuple(r) for r in topk.search(clash, clash.filter("vec_id = 0")).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------------
