@@ -15,6 +15,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ..functions.columns import safe_name
 
 
+# Fixed values below, in what is written: names of folders and files, schemas, headings and fields of reports.
+
+
 def page_path(kind: Column | str = "kind", category: Column | str = "category", name: Column | str = "name", products: str = "产品", industries: str = "行业", suffix: str = "md") -> Column:
     """products/category/name/name.md; industries have no category."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
