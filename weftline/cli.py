@@ -7,12 +7,14 @@ import json
 import os
 import sys
 from collections.abc import Sequence
+from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config as profiles
+from .functions.provider import Provider
 from .operators import changes, quality
 from .plans import site
 from .sources import corpus, sinks
@@ -22,6 +24,10 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("weftline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _now() -> str:
+    return datetime.now().isoformat(timespec="seconds")
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftline")
     sub = p.add_subparsers(dest="command", required=True)
@@ -34,7 +40,12 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--sitemap", help="file with the sitemap's text")
     run.add_argument("--menu", help="file with the interface's answer")
     run.add_argument("--baseline")
-    run.add_argument("--run-date", default="1970-01-01")
+    run.add_argument("--sub-sitemaps", help="Parquet table of url, value: what an index of sitemaps points to")
+    run.add_argument("--blobs", help="Parquet table of url, content, disposition: images and resources")
+    run.add_argument("--details", help="folder of an interface's answers by item, {id}.json")
+    run.add_argument("--cases", help="folder of an interface's cases by industry, {id}.json")
+    run.add_argument("--llm-refine", action="store_true", help="refine texts by the profile's language model; its failure is an error")
+    run.add_argument("--run-date", default=date.today().isoformat())
     run.add_argument("--format", choices=["md", "obsidian", "json"], default="md")
     for flag in ("--incremental", "--check", "--init", "--quality-init", "--quality-check"):
         run.add_argument(flag, action="store_true")
@@ -49,13 +60,13 @@ def _parser() -> argparse.ArgumentParser:
         q = sub.add_parser(name)
         q.add_argument("root")
         q.add_argument("--site", default="")
-        q.add_argument("--run-at", default="1970-01-01")
+        q.add_argument("--run-at", default=_now())
         q.add_argument("--expect-specs", action="store_true")
         q.add_argument("--expect-resources", action="store_true")
     v = sub.add_parser("validate")
     v.add_argument("config")
     v.add_argument("--output-root")
-    v.add_argument("--run-at", default="1970-01-01")
+    v.add_argument("--run-at", default=_now())
     return p
 
 
@@ -90,8 +101,13 @@ def _run(args) -> int:
     pages = spark.read.parquet(args.pages) if args.pages else None
     bodies = corpus.sitemap_bodies(spark, args.sitemap) if args.sitemap else None
     menu = corpus.menus(spark, args.menu) if args.menu else None
-    found = site.items(spark, config, pages, bodies, menu)
+    subs = spark.read.parquet(args.sub_sitemaps) if args.sub_sitemaps else None
+    found = site.items(spark, config, pages, bodies, menu, subs)
+    if pages is None:
+        print("--pages is needed", file=sys.stderr)
+        return 2
     baseline_path = args.baseline or f"{state}/_baseline"
+    failed = 0
     if args.check or args.incremental or args.init:
         empty = spark.createDataFrame([], corpus.RECORDS["baseline"])
         old = spark.read.parquet(baseline_path) if os.path.exists(baseline_path) and not args.init else empty
@@ -103,26 +119,51 @@ def _run(args) -> int:
             for r in diff.orderBy("kind", "id").toLocalIterator():
                 print(f"{r.change_type} {r.kind} {r.id}")
             return int(bool(diff.filter("change_type = 'error'").head(1)))
+        for r in diff.filter("change_type = 'error'").orderBy("kind", "id").toLocalIterator():
+            print(f"failed: {r.kind} {r.id}: its page can't be used", file=sys.stderr)
+            failed = 1
         found = found.join(changes.to_process(diff).select("kind", "id"), ["kind", "id"], "left_semi")
-    docs = site.documents(found, pages, config, args.run_date, args.format).persist()
+    if args.llm_refine:
+        config = profiles.merged(config, {"llm_refine": {"enabled": True}})
+    refining = config.get("llm_refine") or {}
+    made = site.outcome(
+        found, pages, config, args.run_date, args.format, by_kind=_by_kind(folder, config) if not args.page_type else None,
+        blobs=spark.read.parquet(args.blobs) if args.blobs else None, details=corpus.details(spark, args.details) if args.details else None,
+        cases=corpus.cases(spark, args.cases, config.get("field_mapping")) if args.cases else None,
+        provider=Provider.of(refining) if refining.get("enabled") else None, forced=args.llm_refine,
+    )
+    docs = made.docs.persist()
     try:
         counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed")).first()
         if not counts.n:
-            return 0 if args.incremental else 1
-        site.write(docs, root)
+            return failed if args.incremental else 1
+        for r in docs.filter("error is not null").select("kind", "id", "error").orderBy("kind", "id").toLocalIterator():
+            print(f"failed: {r.kind} {r.id}: {r.error}", file=sys.stderr)
+        site.write(docs, root, made.files)
         if args.incremental:
             done = docs.filter("error is null").select("kind", "id", "name", "category", "fp")
             sinks.replace_table(changes.refreshed(old, done), baseline_path)
         if "specs" in docs.columns:
-            rows = docs.select(F.col("id").alias("page_id"), F.col("name").alias("title"), F.regexp_replace("path", "/[^/]*$", "").alias("rel_path"), F.col("best_source").alias("source"), F.explode("specs").alias("s"))
+            fine = docs.filter("error is null")
+            rows = fine.select(F.col("id").alias("page_id"), F.col("name").alias("title"), F.regexp_replace("path", "/[^/]*$", "").alias("rel_path"), F.col("best_source").alias("source"), F.explode("specs").alias("s"))
             sinks.write_sidecar(sinks.spec_records(rows.select("page_id", "title", "rel_path", "source", "s.ord", "s.k", "s.v")), root, "specs", args.run_date)
+        if made.resources is not None:
+            sinks.write_sidecar(sinks.resource_records(made.resources), root, "resources", args.run_date)
         if args.format == "md" and (config.get("document") or {}).get("generate_index", True):
             sinks.write_library(site.library_of(spark, root, config), root, config["site_name"], args.run_date, config["base_url"])
-        return int(bool(counts.failed))
+        return int(bool(counts.failed) or failed)
     finally:
         docs.unpersist()
 
 
+def _by_kind(folder: str, config: dict) -> dict[str, dict]:
+    """Profiles of the kinds of pages that have a file of their own; where output goes stays the run's."""
+    named = set(profiles.page_types(folder))
+    kinds = [k for k in ("product", "industry") if k in named or (k == "industry" and "solution" in named)]
+    shared = {k: config[k] for k in ("output_root", "output_structure", "llm_refine") if k in config}
+    return {k: profiles.load(folder, k) | shared for k in kinds}
+
+
 def _init(args) -> int:
     import re
 

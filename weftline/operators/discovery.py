@@ -23,9 +23,10 @@ def controlled(items: DataFrame, include: Sequence[str] = (), exclude: Sequence[
     return out.orderBy(order).limit(max_pages) if max_pages else out
 
 
-def sitemap_urls(bodies: DataFrame, text: str = "value") -> DataFrame:
-    """(ord, url): all URLs of the bodies, in the order in which they stand."""
-    return bodies.select(F.monotonically_increasing_id().alias("body"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(URL), F.lit(0))).alias("at", "url")).select(
+def sitemap_urls(bodies: DataFrame, text: str = "value", file: str = "file") -> DataFrame:
+    """(ord, url): all URLs of the bodies, by file and then in the order in which they stand, however files are split over tasks."""
+    name = F.col(file) if file in bodies.columns else F.sha2(F.col(text), 256)
+    return bodies.select(name.alias("body"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(URL), F.lit(0))).alias("at", "url")).select(
         F.struct("body", "at").alias("ord"), "url"
     )
 
@@ -89,9 +90,11 @@ def flatten_menu(menu: DataFrame, column: str = "menu") -> DataFrame:
     """Items of a menu (struct or parsed JSON with productTypeList and industryList); identities become strings."""
     m = F.col(column)
     products = menu.select(F.posexplode_outer(m["productTypeList"]).alias("a", "group")).select("a", "group", F.posexplode_outer("group.children").alias("b", "item"))
-    one = products.select(F.struct("a", "b").alias("ord"), F.lit("product").alias("kind"), F.col("item.id").cast("string").alias("id"), F.col("item.name").alias("name"), F.col("group.name").alias("category"), F.col("item.url").alias("url"))
+    has = "features" in menu.select(F.explode_outer(F.flatten(F.transform(m["productTypeList"], lambda g: g["children"]))).alias("x")).select("x.*").columns
+    more = lambda c: (F.col(f"item.{c}") if has else F.lit(None)).cast("string").alias(c)
+    one = products.select(F.struct("a", "b").alias("ord"), F.lit("product").alias("kind"), F.col("item.id").cast("string").alias("id"), F.col("item.name").alias("name"), F.col("group.name").alias("category"), F.col("item.url").alias("url"), more("features"), more("cover"))
     inds = menu.select(F.posexplode_outer(m["industryList"]).alias("b", "item"))
-    two = inds.select(F.struct(F.lit(2**30).alias("a"), "b").alias("ord"), F.lit("industry").alias("kind"), F.col("item.id").cast("string").alias("id"), F.col("item.name").alias("name"), F.lit("").alias("category"), F.col("item.url").alias("url"))
+    two = inds.select(F.struct(F.lit(2**30).alias("a"), "b").alias("ord"), F.lit("industry").alias("kind"), F.col("item.id").cast("string").alias("id"), F.col("item.name").alias("name"), F.lit("").alias("category"), F.col("item.url").alias("url"), F.lit(None).cast("string").alias("features"), F.lit(None).cast("string").alias("cover"))
     return one.unionByName(two).filter("id is not null")
 
 

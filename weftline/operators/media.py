@@ -26,11 +26,17 @@ def named_images(blobs: DataFrame, folder: str = "folder", prefix: str = "prefix
     return blobs.withColumn("seq", seq).withColumn("file", name)
 
 
-def kept_resources(blobs: DataFrame, folder: str = "folder", order: str = "ord", least: int = 1024) -> DataFrame:
-    """Resources of some size with a file name (by disposition, URL, or title), each content once a folder."""
+def kept_resources(blobs: DataFrame, folder: str = "folder", order: str = "ord", least: int = 1024, all_rows: bool = False) -> DataFrame:
+    """Resources of some size with a file name (by disposition, URL, or title), each content once a folder.
+
+    With ``all_rows`` repeated contents stay, under the name of the first.
+    """
     said = F.regexp_extract("disposition", r"""filename\*?=(?:UTF-8'')?["']?([^"';]+)""", 1)
     path = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"/([^/]+\.\w+)$", 1)
     name = F.coalesce(F.nullif(said, F.lit("")), F.nullif(path, F.lit("")), F.col("title"))
     rows = blobs.filter(F.octet_length("content") >= least).withColumn("file", safe_name(percent_decoded(name))).withColumn("digest", F.md5("content"))
-    first = F.row_number().over(Window.partitionBy(folder, "digest").orderBy(order))
-    return rows.withColumn("n", first).filter("n = 1").drop("n").withColumn("bytes", F.octet_length("content").cast("long"))
+    alike = Window.partitionBy(folder, "digest").orderBy(order)
+    rows = rows.withColumn("bytes", F.octet_length("content").cast("long"))
+    if all_rows:
+        return rows.withColumn("file", F.first("file").over(alike))
+    return rows.withColumn("n", F.row_number().over(alike)).filter("n = 1").drop("n")

@@ -191,7 +191,7 @@ PROFILE = {"html_components": {"content_selector": "article"}, "filters": {"imag
 
 
 def extracted(spark: SparkSession, d: str, *want: str) -> DataFrame:
-    return stage.extract(stage.within_limit(pages(spark, d)), PROFILE, want)
+    return stage.extract(pages(spark, d), PROFILE, want)
 
 
 def html_link_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -48,20 +48,34 @@ def files_below(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sitemap_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """(value) whole texts."""
-    return spark.read.text(path, wholetext=True)
+    """(file, value) whole texts."""
+    return spark.read.text(path, wholetext=True).select(F.concat(F.lit("0 "), "_metadata.file_path").alias("file"), "value")
 
 
 def menus(spark: SparkSession, path: str) -> DataFrame:
     """(menu) of JSON answers of an interface: what is under ``data``, with identities as strings."""
     shape = (
-        "struct<productTypeList:array<struct<name:string,children:array<struct<id:string,name:string,url:string>>>>,"
+        "struct<productTypeList:array<struct<name:string,children:array<struct<id:string,name:string,url:string,features:string,cover:string>>>>,"
         "industryList:array<struct<id:string,name:string,url:string>>>"
     )
     body = spark.read.text(path, wholetext=True)
     return body.select(F.from_json(F.coalesce(F.get_json_object("value", "$.data"), F.col("value")), shape).alias("menu"))
 
 
+def details(spark: SparkSession, path: str) -> DataFrame:
+    """(id, payload) of an interface's answers by item, one JSON file ``{id}.json`` each: what is under ``data``."""
+    body = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("id"), "value")
+    return body.select(F.try_url_decode("id").alias("id"), F.coalesce(F.get_json_object("value", "$.data"), F.col("value")).alias("payload"))
+
+
+def cases(spark: SparkSession, path: str, fields: dict | None = None) -> DataFrame:
+    """(id, ord, title, summary, html) of an interface's answers by item, lists of cases, one JSON file ``{id}.json`` each."""
+    names = fields or {}
+    rows = details(spark, path).select("id", F.posexplode(F.from_json("payload", "array<map<string,string>>")).alias("ord", "case"))
+    field = lambda logical, usual: F.col("case")[names.get(logical, usual)]
+    return rows.select("id", "ord", field("case_title", "title").alias("title"), field("case_summary", "summary").alias("summary"), field("case_html", "html").alias("html"))
+
+
 def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Stored records of specs, resources or a baseline."""
     return spark.read.schema(RECORDS[kind]).json(path)

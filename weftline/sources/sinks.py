@@ -57,20 +57,32 @@ class _TreeWriter(DataSourceWriter):
             if not target.startswith(self.root + os.sep):
                 raise ValueError(f"outside of the output folder: {row['path']}")
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            replace_file(target, row["body"] or "")
+            replace_file(target, row[1] or "")
         return _Written()
 
 
+class FileSink(TreeSink):
+    """The same for files: ``df.select("path", "content")`` with binary contents."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "weft_files"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TreeSink)
+    spark.dataSource.register(FileSink)
 
 
-def replace_file(path: str | Path, text: str) -> None:
+def replace_file(path: str | Path, text: str | bytes) -> None:
     """Written beside the target, flushed, then moved over it; on failure the target stays as it was."""
     tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
     try:
-        with open(tmp, "w", encoding="utf-8") as f:
-            f.write(text)
+        with open(tmp, "wb") as f:
+            f.write(text.encode("utf-8") if isinstance(text, str) else bytes(text))
             f.flush()
             os.fsync(f.fileno())
         os.replace(tmp, path)

@@ -18,8 +18,8 @@ PAGES = "page_id long, url string, html string"
 
 
 def snapshot(batch: DataFrame, kind: str = "product") -> DataFrame:
-    """(kind, id, name, category, fp) of pages; of a page that occurs twice the greater fingerprint."""
-    rows = pages.extract(pages.within_limit(batch), want=["fp", "error"])
+    """(kind, id, name, category, fp) of pages; of a page that occurs twice the greater fingerprint. One that is missing or too large has none."""
+    rows = pages.extract(batch, want=["fp", "error"], limit=pages.MAX_BYTES)
     one = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("fp").desc_nulls_last()))
     return rows.withColumn("n", one).filter("n = 1").select(F.lit(kind).alias("kind"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), F.lit("").alias("category"), "fp")
 
@@ -61,4 +61,4 @@ def run(
 def quality_stream(spark: SparkSession, source: str, config: dict | None = None, files_per_batch: int = 20) -> DataFrame:
     """A stream of (page_id, url, md, error): the page stage on pages as they arrive; stateless."""
     stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return pages.extract(pages.within_limit(stream), config, want=["md", "error"])
+    return pages.extract(stream, config, want=["md", "error"], limit=pages.MAX_BYTES)
