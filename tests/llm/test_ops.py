@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, catalog, kneser_ney, langid, mixing, near_vectors, pii, sharding, simhash, span_dedup, topk
+from weftline.llm import bpe, catalog, common, kneser_ney, langid, mixing, near_vectors, pii, sharding, simhash, span_dedup, topk
 from weftline.llm.common import components
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -633,6 +633,29 @@ def test_simhash_odd(odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 6, 7] and kept.columns == odd.columns
 
 
+@pytest.mark.parametrize(("bits", "n"), [(1 << 15, 500), (1 << 15, 40_000), (1 << 27, 0)])
+def test_sieve_never_holds_a_wanted_key_back(spark, monkeypatch, bits, n):
+    monkeypatch.setattr(common, "MOST_SIEVE_BITS", bits)
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("k"), "id", F.lit("x").alias("page_"))
+    got = common.sieved(rows, "k", rows.filter(F.col("id") < n).select("k"), "may")
+    assert got.columns == ["k", "id", "page_", "may"]
+    passed = {r.id for r in got.filter("may").collect()}
+    assert set(range(n)) <= passed and got.count() == 60_000
+    assert len(passed) == 60_000 if n > bits // 2 else len(passed) <= n + 2000
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        applicationId, master = "app-without", "local-cluster[3,2,1000]"
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Session)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(400) if i != 200], "src long, dst long")
     got = {r.node: r.root for r in components(edges).collect()}

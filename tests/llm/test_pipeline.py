@@ -113,6 +113,66 @@ def test_near_copies_down_to_similarity(spark, most):
     assert got == sorted({top(i) for i in up})
 
 
+@pytest.mark.parametrize("most", [1024, 3])
+def test_large_groups_and_bridges(spark, most):
+    """A large group of near copies, chains whose ends are unlike, texts that share a third, exact and whole copies: against all pairs."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{rng.integers(10**6)}" for _ in range(n)]
+    base, texts = words(200), []
+    for _ in range(40):
+        copy = list(base)
+        copy[int(rng.integers(200))] = "other"
+        texts.append(copy)
+    chain = words(200)
+    for i in range(12):  # each link changes four words in a place of its own
+        chain = list(chain)
+        chain[16 * i : 16 * i + 4] = words(4)
+        texts.append(chain)
+    shared = words(120)
+    texts += [shared + words(180) for _ in range(8)] + [base[:150] + words(40) for _ in range(3)]
+    texts += [texts[3]] * 5 + [[]] * 2 + [["only"]] * 2
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(0, " ".join(texts[0]))] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, similarity=0.8, most=most).collect())
+    assert got == sorted({top(i) for i in up})
+
+
+def test_across_lets_all_labels_meet(spark):
+    rng = np.random.default_rng(14)
+    rows = [(int(h), r, 10, int(l)) for r in (1, 2) for h, l in zip(rng.integers(-(2**60), 2**60, 90), np.where(rng.random(90) < 0.5, 7, rng.integers(8, 20, 90)))]
+    dealt = simhash._across(spark.createDataFrame(rows, "h long, root long, size long, label long"), 10).collect()
+    met, held = set(), {}
+    for d in dealt:
+        held.setdefault((d.root, d.bi, d.bj), []).append((d.h, d.block))
+    for (_, bi, bj), g in held.items():
+        met |= {frozenset((a, b)) for a, x in g for b, y in g if a != b and (bi == bj or x != y)}
+    label = {h: (r, l) for h, r, _, l in rows}
+    assert {frozenset((a, b)) for a in label for b in label if label[a][0] == label[b][0] and label[a][1] != label[b][1]} <= met
+    assert max(len(g) for g in held.values()) < 50 and not any(label[a][1] == label[b][1] == 7 for a, b in met)
+
+
+def test_which_of_repeated_rows_stays(spark):
+    rows = [(4, "Twice the very same row, again.", lang, "b", 31) for lang in ("fr", "en", None)] + [(3, "Twice the very same row, again.", "de", "a", 31), (None, "Twice the very same row, again.", "aa", "a", 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 3):
+        assert [tuple(r) for r in cp.near_dedup(spark, docs.repartition(parts), "").collect()] == [rows[3]]
+        got = cp.near_dedup(spark, docs.filter("doc_id = 4").repartition(parts), "").collect()
+        assert [r.lang for r in got] == [None]  # nulls come first in the order of the other columns
+
+
 def test_stage_drops_a_near_copy_beyond_three_bits(spark):
     rng = np.random.default_rng(10)
     base = [f"w{rng.integers(10**6)}" for _ in range(300)]

@@ -202,6 +202,33 @@ def split_hot(rows: DataFrame, key: str | list[str], spread: str, most: int, sma
     return whole(rows.join(listed, key, "left_anti")).unionByName(dealt)
 
 
+#: Bits of a sieve at least and at most: 16 MB are broadcast whatever the input; places of a sieve for each key while they last.
+SIEVE_BITS, MOST_SIEVE_BITS, SPARSE = 1 << 15, 1 << 27, 64
+_PAGE = 32768  # bits in one of Spark's bitmaps
+
+
+def sieved(rows: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false only if the long ``key`` is surely none of the longs of ``wanted`` (its only column).
+
+    A bitmap of hashes, built where the keys are, and looked up without a shuffle of ``rows``. It has ``MOST_SIEVE_BITS`` at
+    most, so with very many keys it lets more pass, and with more than half as many keys as bits everything: a saving, never a decision.
+    """
+    n = wanted.count()
+    if n > MOST_SIEVE_BITS // 2:
+        return rows.withColumn(flag, F.lit(True))
+    bits = SIEVE_BITS
+    while bits < min(MOST_SIEVE_BITS, SPARSE * n):
+        bits *= 2
+    at, page, held = (free_name(rows, x) for x in ("at_", "page_", "map_"))
+    place = lambda c: F.pmod(F.xxhash64(F.lit("sieve"), c), F.lit(bits))
+    paged = wanted.select(place(F.col(wanted.columns[0])).alias(at))
+    pages = paged.groupBy(F.floor(F.col(at) / _PAGE).cast("int").alias(page)).agg(F.bitmap_construct_agg(F.col(at) % _PAGE).alias(held))
+    looked = rows.withColumn(at, place(F.col(f"`{key}`"))).withColumn(page, F.floor(F.col(at) / _PAGE).cast("int"))
+    byte = F.conv(F.hex(F.substring(held, ((F.col(at) % _PAGE) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    both = looked.join(F.broadcast(pages), page, "left")  # MOST_SIEVE_BITS / 32768 rows of 4 KB at most
+    return both.withColumn(flag, F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))).select(*cols(rows), flag)
+
+
 def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """(node, root) for every node of ``edges`` (src, dst: long); root is the component's smallest node.
 
