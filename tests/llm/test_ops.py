@@ -401,6 +401,46 @@ def test_spans_query(spark, data, local):
         assert r.n_sentences == len(span_dedup.sentences(local[i].text)) and (r.n_removed or r.text == local[i].text)
 
 
+@pytest.mark.parametrize("hot", [20_000, 6])
+def test_spans_against_plain_sentences(spark, monkeypatch, hot):
+    """Texts of short sentences, by the words alone: what is removed, where, what stays, and where it is kept."""
+    monkeypatch.setattr(span_dedup, "HOT", hot)
+    rng = np.random.default_rng(15)
+    pool = [" ".join(f"{'Xyz'[i % 3]}{rng.integers(60)}" for i in range(int(rng.integers(3, 10)))) + "." for _ in range(60)]
+    rows = []
+    for i in range(80):
+        own = [" ".join(f"o{rng.integers(10**6)}" for _ in range(6)) + "!" for _ in range(int(rng.integers(0, 4)))]
+        at = int(rng.integers(50))
+        parts = own + pool[at : at + int(rng.integers(0, 8))] + own[:1] + pool[:4] * int(rng.random() < 0.3)
+        rows.append((i, "  ".join(parts).upper() if i % 9 == 0 else " ".join(parts)))
+    rows += [(5, rows[5][1]), (81, rows[5][1]), (82, None), (83, "")]
+    cut = {}  # (id, text): sentences with their places
+    for i, t in rows:
+        cut[i, t] = [(m.start(), m.end(), tuple(m[0].lower().split())) for m in re.finditer(r"\S[^.!]*[.!]", t or "")]
+    places = defaultdict(list)
+    for (i, t), found in cut.items():
+        for a in range(len(found)):
+            z = next((z for z in range(a + 2, len(found) + 1) if sum(len(w) for _, _, w in found[a:z]) >= 16), None)
+            if z:
+                places[tuple(w for _, _, w in found[a:z])].append((i, a, z, t))
+    gone, kept_in = defaultdict(set), defaultdict(set)
+    for where in places.values():
+        first, *rest = sorted(where, key=lambda p: p[:3])
+        for i, a, z, t in rest:
+            gone[i, t] |= set(range(a, z))
+            kept_in[i, t].add(first[0])
+    got = span_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text_of = {i: t for i, t in rows}
+    assert len(got) == len(rows) and sum(r.n_removed > 0 for r in got) > 20
+    for r in got:
+        key = (r.doc_id, text_of[r.doc_id])
+        found, out = cut[key], gone[key]
+        assert (r.n_sentences, r.n_removed, set(r.kept_in or ())) == (len(found), len(out), kept_in[key])
+        inside = [[int(x) for x in p.split(":")] for p in r.removed.split(",")] if r.removed else []
+        assert {k for k, (a, z, _) in enumerate(found) if any(x <= a and z <= y for x, y in inside)} == out
+        assert (r.kept_text or "").split() == [w for k, (a, z, _) in enumerate(found) if k not in out for w in key[1][a:z].split()]
+
+
 def test_planted_passage(spark):
     words = [f"w{i}" for i in range(60)]
     passage = " ".join(words[:20]) + ". " + " ".join(words[20:40]) + ". " + " ".join(words[40:]) + "."

@@ -10,7 +10,9 @@ spaces) and joined globally. Of each repeated span the first occurrence stays, b
 place; every sentence covered by another occurrence is removed.
 
 The join carries hashes and places only. Counting pre-aggregates, so a passage that a third of all documents
-share costs one row a task there; the join back to its occurrences is an equi-join that adaptive execution can split.
+share costs one row a task there. Only occurrences that a sieve of the repeated spans lets pass are joined with these; those of
+spans with more than ``HOT`` occurrences are joined where they are, without a shuffle, as long as the list of such spans is short (counted
+first), else by an equi-join that adaptive execution can split. Texts in which nothing is removed are cut into sentences once.
 
 Nulls and rows: a null text has no sentences and stays null; a null doc_id comes last in the order; rows of equal id
 and text are one document and get equal results; an empty table gives an empty result; an input column that has a result's
@@ -30,9 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_by_bytes, free_name, staged, with_results
+from .common import chunks_by_bytes, free_name, sieved, staged, with_results
 
 SENTENCES, WORDS, LONG, WINDOW = 2, 16, 11, 6
+#: Occurrences from which a span is joined apart, and such spans whose list is broadcast.
+HOT, LISTED = 20_000, 100_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _ends = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\u0964\u0965])(?![\u3002\uff01\uff1f\u0964\u0965])\s*|\s*\n\s*")
 _pauses = re.compile(r"(?<=[,;:])\s+|(?<=[\u3001\uff0c\uff1b\uff1a])\s*")
 #: The same for texts without the marks of other scripts; as they begin with white space, the search is faster.
@@ -65,12 +70,28 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return [s for s in out if s[2]]
 
 
+_WORD_HASHES: dict[str, int] = {}
+
+
+def _hashes(words: list[str]) -> list[int]:
+    """crc32 of each; what was computed is kept, up to a bound."""
+    known = _WORD_HASHES
+    if len(known) > 200_000:
+        known.clear()
+    out = [known.get(w) for w in words]
+    for i, h in enumerate(out):
+        if h is None:
+            out[i] = known[words[i]] = zlib.crc32(words[i].encode("utf-8", "replace"))
+    return out
+
+
 def _cut(text: str, start: int, end: int, word: re.Pattern) -> list[tuple[int, int, int]]:
     """Pieces that begin at words with the smallest hash of some ``WINDOW`` consecutive words, the last of equal ones."""
     found = [m.span() for m in word.finditer(text, start, end)]
-    hashes = [zlib.crc32(w.encode("utf-8", "replace")) for w in word.findall(text[start:end].lower())]
-    if len(hashes) != len(found):  # lower case of a letter of more than one
-        hashes = [zlib.crc32(text[a:z].lower().encode("utf-8", "replace")) for a, z in found]
+    words = word.findall(text[start:end].lower())
+    if len(words) != len(found):  # lower case of a letter of more than one
+        words = [text[a:z].lower() for a, z in found]
+    hashes = _hashes(words)
     at, least = [0], 0
     for i, h in enumerate(hashes):
         if h <= hashes[least]:
@@ -95,23 +116,47 @@ def _pieces(mark: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple
         yield at, end
 
 
+def span_arrays(text: str, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last sentence of the span that starts at each sentence and has enough behind it.
+
+    A span's hash sums its sentences' hashes times the powers of an odd number, so running sums give all spans of a text at once.
+    """
+    n = len(found)
+    low = text.lower()
+    low = low if len(low) == len(text) else None
+    norm = [" ".join((low[a:z] if low is not None else text[a:z].lower()).split()) for a, z, _ in found]
+    each = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) for s in norm), dtype=np.uint64, count=n)
+    upto = np.concatenate([[0], np.cumsum([w for _, _, w in found])]).astype(np.int64)
+    # the first end at which the words suffice, and at least so many sentences; n + 1 if there is none
+    end = np.maximum(np.searchsorted(upto, upto[:-1] + WORDS), np.arange(n) + SENTENCES)
+    first = np.flatnonzero(end <= n)
+    last = end[first] - 1
+    up, down = _powers(n)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(each * up)])
+    h = (sums[last + 1] - sums[first]) * down[first] + (last + 1 - first).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(29))).view(np.int64), first, last
+
+
 def spans(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of the span that starts at each sentence and has enough behind it."""
-    norm = [" ".join(text[a:z].lower().split()) for a, z, _ in found]
-    last, held = 0, 0  # sentences first..last-1 have ``held`` words
-    for first in range(len(found)):
-        while last < len(found) and (held < WORDS or last - first < SENTENCES):
-            held += found[last][2]
-            last += 1
-        if held < WORDS or last - first < SENTENCES:
-            return
-        digest = xxhash.xxh3_64_intdigest("\n".join(norm[first:last]).encode("utf-8", "replace"))
-        yield digest - (1 << 64) if digest >> 63 else digest, first, last - 1
-        held -= found[first][2]
+    """The same as rows."""
+    return zip(*(x.tolist() for x in span_arrays(text, found)), strict=True)
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((int(_ODD), pow(int(_ODD), -1, 2**64))):
+            p = np.full(max(n, 1 << 14), base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def _all_spans(df: DataFrame, text: str, key: str, order: str) -> DataFrame:
-    """(span, order id, key, first, last) of every text."""
+    """(id, h, span, first, last) of every text's spans, and one row a text with a null span, whose ``first`` is its number of sentences."""
     kind = df.schema[order].dataType
     schema = T.StructType([
         T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("span", T.LongType()),
@@ -122,32 +167,44 @@ def _all_spans(df: DataFrame, text: str, key: str, order: str) -> DataFrame:
         for batch in batches:
             for a, z in chunks_by_bytes(batch.column("t")):
                 part = batch.slice(a, z - a)
-                row, got = [], []
-                for i, t in enumerate(part.column("t").to_pylist()):
-                    mine = list(spans(t, sentences(t)))
-                    got += mine
-                    row += [i] * len(mine)
-                i = pa.array(row, pa.int64())
-                values = np.array(got, dtype=np.int64).reshape(len(got), 3)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(i), part.column("h").take(i), pa.array(values[:, 0]), pa.array(values[:, 1].astype(np.int32)), pa.array(values[:, 2].astype(np.int32))],
-                    names=schema.names,
-                )
+                cut = [(t, sentences(t)) for t in part.column("t").to_pylist()]
+                got = [span_arrays(t, found) for t, found in cut]
+                row = np.concatenate([np.arange(len(cut)), np.repeat(np.arange(len(cut)), [len(g[0]) for g in got])])
+                joined = [np.concatenate([g[k] for g in got]) for k in range(3)]
+                none = pa.nulls(len(cut), pa.int64())
+                span = pa.concat_arrays([none, pa.array(joined[0], pa.int64())])
+                first = np.concatenate([[len(found) for _, found in cut], joined[1]]).astype(np.int32)
+                last = np.concatenate([np.full(len(cut), -1), joined[2]]).astype(np.int32)
+                i = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(i), part.column("h").take(i), span, pa.array(first), pa.array(last)], names=schema.names)
 
     rows = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{order}`").alias("id"), F.col(key).alias("h"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, schema)
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, gone: sorted (first, last, kept_in) of spans that aren't the first of their kind) of texts that have any; h is the text's hash."""
+    """(id, h, n, gone: sorted (first, last, kept_in) of spans that aren't the first of their kind, or null) of texts; h is the text's hash, n the number of sentences."""
     key = free_name(df, "h_")
     every = staged(_all_spans(df.withColumn(key, F.xxhash64(F.col(f"`{text}`"))), text, key, doc_id), "spans")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "h", "first")
-    counted = every.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("start")).filter("n > 1")
+    found = every.filter("span is not null")
+    counted = found.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("start")).filter("n > 1")
     # written first: joined with the aggregate itself, the occurrences of a span could not be split over tasks
-    both = every.join(staged(counted.drop("n"), "repeated"), "span").filter(~place.eqNullSafe(F.col("start")))
-    facts = F.sort_array(F.collect_set(F.struct("first", "last", F.col("start.id").alias("kept_in"))))
-    return staged(both.groupBy("id", "h").agg(facts.alias("gone")), "repeats")
+    repeated = staged(counted, "repeated")
+    hot = repeated.filter(F.col("n") > HOT).drop("n")
+    passed = sieved(found, "span", repeated.select("span"), "may_").filter("may_").drop("may_")
+    many = hot.count()
+    if 0 < many <= LISTED:
+        cold = passed.join(F.broadcast(hot.select("span")), "span", "left_anti").join(repeated.filter(F.col("n") <= HOT).drop("n"), "span")
+        both = cold.unionByName(found.join(F.broadcast(hot), "span"))
+    else:
+        both = passed.join(repeated.drop("n"), "span")
+    both = both.filter(~place.eqNullSafe(F.col("start")))
+    gone = both.select("id", "h", F.lit(None).cast("int").alias("n"), F.struct("first", "last", F.col("start.id").alias("kept_in")).alias("span"))
+    none = F.lit(None).cast(gone.schema["span"].dataType)
+    cut = every.filter("span is null").select("id", "h", F.col("first").alias("n"), none.alias("span"))
+    facts = F.sort_array(F.collect_set("span"))
+    return staged(gone.unionByName(cut).groupBy("id", "h").agg(F.max("n").alias("n"), F.when(F.count("span") > 0, facts).alias("gone")), "repeats")
 
 
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text") -> DataFrame:
@@ -155,7 +212,7 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
     kept_in (ids of the documents in which the removed spans stay)."""
     names = [out, "n_sentences", "n_removed", "removed", "kept_in"]
     base = with_results(df, names)
-    gone = repeats(df, doc_id, text).withColumnsRenamed({"id": "id_", "h": "hh_"})
+    gone = repeats(df, doc_id, text).withColumnsRenamed({"id": "id_", "h": "hh_", "n": "sentences_"})
     wide = df.select(*[F.col(f"`{c}`") for c in base.columns], F.col(f"`{text}`").alias("__text"), F.col(f"`{doc_id}`").alias("__id"))
     both = wide.join(gone, wide["__id"].eqNullSafe(gone["id_"]) & (F.xxhash64("__text") == gone["hh_"]), "left")
     ids = T.ArrayType(df.schema[doc_id].dataType)
@@ -167,14 +224,15 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
         for batch in batches:
             for a, z in chunks_by_bytes(batch.column(n)):
                 part = batch.slice(a, z - a)
-                texts, covers = part.column(n).to_pylist(), zip(part.column(n + 2).to_pylist(), part.column(n + 3).to_pylist(), strict=True)
-                cut = [_without(t, list(zip(f, g, strict=True)) if f else []) for t, (f, g) in zip(texts, covers, strict=True)]
+                texts, covers = part.column(n).to_pylist(), zip(*(part.column(n + i).to_pylist() for i in (2, 3, 4)), strict=True)
+                cut = [_without(t, list(zip(f, g, strict=True))) if f else (t, m or 0, 0, "") for t, (f, g, m) in zip(texts, covers, strict=True)]
                 new = [pa.array([c[i] for c in cut], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], part.column(n + 1), *new], names=schema.names)
 
     plain = both.select(
         *[F.col(f"`{c}`") for c in base.columns], "__text", F.array_distinct("gone.kept_in").alias("kept_in_"),
         F.col("gone.first").alias("first_"), F.col("gone.last").alias("last_"),
+        F.col("sentences_"),
     )
     return plain.mapInArrow(run, schema)
 
