@@ -20,7 +20,7 @@ def kept_images(blobs: DataFrame, keywords: Sequence[str] = (), banned: Sequence
 
 def named_images(blobs: DataFrame, folder: str = "folder", prefix: str = "prefix", order: str = "ord") -> DataFrame:
     """``blobs`` with a sequence number within folder and prefix, and the file's name."""
-    kind = F.lower(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"\.(png|jpe?g|gif|webp|svg|bmp)$", 1))
+    kind = F.lower(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"(?i)\.(png|jpe?g|gif|webp|svg|bmp)$", 1))
     seq = F.row_number().over(Window.partitionBy(folder, prefix).orderBy(order))
     name = F.concat(safe_name(prefix), F.lit("_"), seq.cast("string"), F.lit("."), F.when(kind == "", F.lit("png")).otherwise(kind))
     return blobs.withColumn("seq", seq).withColumn("file", name)

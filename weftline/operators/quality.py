@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import WORDS, count_of, images, links
-from .lines import empty_sections, heading_issues, md_lines
+from .rules import structure_issues
 
 POLLUTION = ("产品资讯", "其他产品", "正在加载", "请稍候", "显示更多")
 NOISE = ("更多信息", "联系我们", "在线留言", "申请试用", "视频 0")
@@ -30,14 +30,10 @@ def quality_rows(docs: DataFrame, files: DataFrame | None = None, path: str = "p
     is checked.
     """
     base = docs.select(F.col(path).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = md_lines(base.select("doc", F.regexp_replace("text", "\r\n?|\n$", "\n").alias("text")), "doc", "text")
-    empty = empty_sections(lines).select("doc", "pos", F.concat(F.lit("empty-section:"), F.left("title", F.lit(30))).alias("issue"), F.lit(2).alias("kind"))
-    found = heading_issues(lines).withColumn("kind", F.lit(1)).unionByName(empty)
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("kind", "pos", "issue"))), lambda x: x["issue"])
-    structure = found.groupBy("doc").agg(listed.alias("structure"))
-    refs = base.select("doc", "text", images("text").alias("imgs"), links("text").alias("refs"))
-    refs = refs.withColumn("local_imgs", _local(F.col("imgs"), "图片/")).withColumn("local_refs", _local(F.col("refs"), "资料/", "../资料/"))
-    x = refs.join(structure, "doc", "left").withColumn("structure", F.coalesce("structure", F.array().cast("array<string>")))
+    # within the row: no text is taken apart into lines and shuffled
+    structure = structure_issues(F.regexp_replace("text", "\r\n?|\n$", "\n")).alias("structure")
+    refs = base.select("doc", "text", images("text").alias("imgs"), links("text").alias("refs"), structure)
+    x = refs.withColumn("local_imgs", _local(F.col("imgs"), "图片/")).withColumn("local_refs", _local(F.col("refs"), "资料/", "../资料/"))
     if files is None:
         x = x.withColumn("lost_imgs", F.lit(0)).withColumn("lost_refs", F.lit(0))
     else:
@@ -148,7 +144,3 @@ def regression_totals(changes: DataFrame) -> DataFrame:
         is_("new").alias("new_items"), is_("missing").alias("missing_items"),
     )
 
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "seq") -> DataFrame:
-    """Sequence numbers from 1 within ``keys``."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -1,6 +1,7 @@
 """Queries on the tables ``pages`` and ``documents``, with the SQL that gives the same rows.
 
-``documents`` holds prose. Queries on Markdown turn every third line of a text into a heading whose level follows from the
+Rules on Markdown run within the row, as pages' texts go through them (``operators.rules``), but for four that run as windows on tables of
+lines (``operators.lines``). ``documents`` holds prose. Queries on Markdown turn every third line of a text into a heading whose level follows from the
 document and the line (``as_markdown`` here, ``MD`` in SQL), so that headings occur at all levels.
 """
 
@@ -8,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import changes, discovery, formats, library, lines, quality
+from ..operators import changes, discovery, formats, library, lines, quality, rules
 from ..operators import pages as stage
+from . import recipes
 
 SUB = ("the", "of", "de")
 BASE = "https://www.site3.example.com"
@@ -73,12 +75,26 @@ def url_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls"))
 
 
+def _headings(df: DataFrame, out: Column) -> DataFrame:
+    """(doc, pos, level, out_level, line) of the headings of ``text`` as they were and as ``out`` has them."""
+    level = lambda c: F.length(F.regexp_extract(F.regexp_replace(c, r"^\s+|\s+$", ""), lines.HEADING, 1))
+    both = F.arrays_zip(F.split("text", "\n", -1).alias("before"), F.split(out, "\n", -1).alias("after"))
+    rows = df.select("doc", F.posexplode(both).alias("pos", "x")).select("doc", "pos", level(F.col("x.before")).alias("level"), level(F.col("x.after")).alias("out_level"), F.col("x.after").alias("line"))
+    return rows.filter("level > 0")
+
+
+def _digest(text: Column) -> list[Column]:
+    return [F.size(F.split(text, "\n", -1)).alias("n"), F.md5(text).alias("text_md5")]
+
+
 def heading_clamp(spark: SparkSession, d: str) -> DataFrame:
-    return lines.clamp_jumps(md(spark, d)).filter("level is not null").select("doc", "pos", "level", "out_level", F.md5("line").alias("line_md5"))
+    docs = as_markdown(documents(spark, d))
+    return _headings(docs, rules.clamp_jumps("text")).select("doc", "pos", "level", "out_level", F.md5("line").alias("line_md5"))
 
 
 def heading_demotion(spark: SparkSession, d: str) -> DataFrame:
-    return lines.demote_subheadings(md(spark, d), SUB).filter("level is not null").select("doc", "pos", "level", "out_level")
+    docs = as_markdown(documents(spark, d))
+    return _headings(docs, rules.demote_subheadings("text", SUB)).select("doc", "pos", "level", "out_level")
 
 
 def same_title_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -86,33 +102,70 @@ def same_title_merge(spark: SparkSession, d: str) -> DataFrame:
     return lines.merge_same_titles(flat.withColumn("pos", (F.col("pos") / 3).cast("int"))).select("doc", "pos", "level")
 
 
+def _remade(docs: DataFrame, line: Callable[[Column, Column], Column]) -> DataFrame:
+    """Documents with each line made anew from it and its place."""
+    return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"))
+
+
+def merged_titles(spark: SparkSession, d: str) -> DataFrame:
+    heads = F.transform(F.filter(F.split("text", "\n", -1), lambda s, i: i % 3 == 0), lambda s: F.regexp_replace(s, "^(#+) .*$", "$1 t"))
+    docs = as_markdown(documents(spark, d)).withColumn("text", F.array_join(heads, "\n"))
+    return docs.select("doc", rules.merge_same_titles("text").alias("out")).select("doc", *_digest(F.col("out")))
+
+
+def _with_images(s: Column, i: Column) -> Column:
+    return F.when(i % 2 == 0, F.lit("![a](x)")).when(F.length(F.regexp_extract(s, "([A-Za-z]+)", 1)) % 2 == 0, F.lit("a")).otherwise(s)
+
+
 def alt_echoes(spark: SparkSession, d: str) -> DataFrame:
-    word = F.regexp_extract("line", "([A-Za-z]+)", 1)
-    made = md(spark, d).select("doc", "pos", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("!["), F.lit("a"), F.lit("](x)"))).when(F.length(word) % 2 == 0, F.lit("a")).otherwise(F.col("line")).alias("line"))
+    """As windows, on a table of lines."""
+    made = md(spark, d).select("doc", "pos", _with_images(F.col("line"), F.col("pos")).alias("line"))
     return lines.strip_alt_echoes(made).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
+def alt_echo_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Alternative texts of every kind: each image has the line behind it as its own."""
+    line = lambda s, i: F.when(i % 3 == 0, F.concat(F.lit("!["), F.regexp_replace(s, r"[\[\]#]", ""), F.lit("x](u)"))).when(i % 3 == 1, F.concat(F.regexp_replace(s, r"[\[\]#]", ""), F.lit("x"))).otherwise(s)
+    docs = _remade(as_markdown(documents(spark, d)), lambda s, i: line(F.concat(F.lit("t"), (i / 3).cast("int").cast("string")), i))
+    return docs.select("doc", rules.drop_alt_echoes("text").alias("out")).select("doc", *_digest(F.col("out")))
+
+
 def fenced_spaces(spark: SparkSession, d: str) -> DataFrame:
-    made = md(spark, d).withColumn("line", F.when(F.col("pos") % 5 == 2, F.lit("``` x")).otherwise(F.replace("line", F.lit("e"), F.lit("\u00a0"))))
-    return lines.plain_spaces(made).select("doc", "pos", F.md5("line").alias("line_md5"))
+    docs = _remade(as_markdown(documents(spark, d)), lambda s, i: F.when(i % 5 == 2, F.lit("``` x")).otherwise(F.replace(s, F.lit("e"), F.lit("\u00a0"))))
+    return docs.select("doc", F.posexplode(F.split(rules.plain_spaces("text"), "\n", -1)).alias("pos", "line")).select("doc", "pos", F.md5("line").alias("line_md5"))
 
 
 def skipped_sections(spark: SparkSession, d: str) -> DataFrame:
+    """As windows, on a table of lines."""
     made = md(spark, d).withColumn("line", F.when(F.col("pos") % 9 == 3, F.regexp_replace("line", "^(#+) .*$", "$1 Watch")).otherwise(F.col("line")))
     return lines.skip_sections(made, ["Watch", "Listen", "Read"]).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
+def skipped_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _remade(as_markdown(documents(spark, d)), lambda s, i: F.when(i % 9 == 3, F.regexp_replace(s, "^(#+) .*$", "$1 Watch")).otherwise(s))
+    return docs.select("doc", rules.skip_card_sections("text").alias("out")).select("doc", *_digest(F.col("out")))
+
+
 def repeated_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """As windows, on a table of lines."""
     made = lines.md_lines(documents(spark, d).select(F.col("doc_id").alias("doc"), F.regexp_replace("text", r"([.!?]) ", "$1\n\n").alias("text")), "doc", "text")
     return lines.dedupe_blocks(made).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
+def repeated_block_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select(F.col("doc_id").alias("doc"), F.regexp_replace("text", r"([.!?]) ", "$1\n\n").alias("text"))
+    kept = F.filter(F.transform(F.split(rules.dedupe_blocks("text"), "\n", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return docs.select("doc", kept.alias("kept")).select("doc", F.size("kept").alias("n"), F.md5(F.array_join("kept", "\n")).alias("kept_md5"))
+
+
 def empty_sections(spark: SparkSession, d: str) -> DataFrame:
-    return lines.empty_sections(md(spark, d).filter("pos % 3 <> 1 or doc % 2 = 0")).select("doc", "pos", "level", F.md5("title").alias("title_md5"))
+    """Lines keep their places; one in three is blank in every other document."""
+    docs = _remade(as_markdown(documents(spark, d)), lambda s, i: F.when((i % 3 != 1) | (F.col("doc") % 2 == 0), s).otherwise(F.lit("")))
+    return docs.select("doc", F.explode(rules.empty_sections("text")).alias("x")).select("doc", "x.pos", "x.level", F.md5("x.title").alias("title_md5"))
 
 
 def heading_issues(spark: SparkSession, d: str) -> DataFrame:
-    return lines.heading_issues(md(spark, d)).select("doc", "issue")
+    return as_markdown(documents(spark, d)).select("doc", F.explode(rules.heading_issues("text")).alias("x")).select("doc", "x.issue")
 
 
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -154,22 +207,30 @@ def _snapshot(rows: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(F.lit("product").alias("kind"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), F.lit("").alias("category"), F.md5(html).alias("fp"))
 
 
+def _gone(p: DataFrame) -> DataFrame:
+    """Entries of a baseline whose pages are no more."""
+    return p.filter("page_id % 21 = 0").select((F.col("page_id") + 1_000_000).alias("page_id"), "url", "html")
+
+
 def baseline_changes(spark: SparkSession, d: str) -> DataFrame:
+    """All pages against a baseline that lacks a third, has other contents of a fifth, and holds pages that are gone."""
     p = pages(spark, d)
-    old = _snapshot(p.filter("page_id % 3 <> 0").withColumn("html", F.when(F.col("page_id") % 5 == 0, F.lit("old")).otherwise(F.col("html"))))
-    now = _snapshot(p.filter("page_id % 7 <> 0"))
-    return changes.detect(now, old).select("kind", "id", "change_type")
+    known = p.filter("page_id % 3 <> 0").withColumn("html", F.when(F.col("page_id") % 5 == 0, F.lit("old")).otherwise(F.col("html")))
+    return changes.detect(_snapshot(p), _snapshot(known.unionByName(_gone(p)))).select("kind", "id", "change_type")
 
 
 def baseline_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """A baseline of two thirds of the pages and some that are gone, brought up to date by all."""
     p = pages(spark, d)
-    return changes.refreshed(_snapshot(p.filter("page_id % 3 <> 0"), "url"), _snapshot(p.filter("page_id % 2 = 0"))).select("id", "fp")
+    return changes.refreshed(_snapshot(p.filter("page_id % 3 <> 0").unionByName(_gone(p)), "url"), _snapshot(p)).select("id", "fp")
 
 
 def quality_regressions(spark: SparkSession, d: str) -> DataFrame:
-    now = quality.metrics(paths(spark, d).filter("doc % 11 <> 0"))
-    was = quality.metrics(paths(spark, d).filter("doc % 13 <> 0").withColumn("text", F.when(F.col("doc") % 4 == 0, F.concat("text", F.lit("\n## more\n[[a]] "), "text")).otherwise(F.col("text"))))
-    return quality.regressions(now, was).select("path", "status", F.array_join("issues", ",").alias("issues"))
+    """All documents against earlier ones, of which some were longer, some are new, and some are gone."""
+    docs = paths(spark, d)
+    was = docs.filter("doc % 13 <> 0").withColumn("text", F.when(F.col("doc") % 4 == 0, F.concat("text", F.lit("\n## more\n[[a]] "), "text")).otherwise(F.col("text")))
+    gone = docs.filter("doc % 11 = 0").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    return quality.regressions(quality.metrics(docs), quality.metrics(was.unionByName(gone))).select("path", "status", F.array_join("issues", ",").alias("issues"))
 
 
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -234,11 +295,11 @@ def formatted_digest(docs: DataFrame) -> DataFrame:
     return docs.select("page_id", "title", F.length("body").alias("n"), F.md5("body").alias("body_md5"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = recipes.QUERIES | {
     f.__name__: f
     for f in (
-        url_parts, same_origin_pairs, list_pages, discovery_controls, url_buckets, heading_clamp, heading_demotion, same_title_merge, alt_echoes, fenced_spaces,
-        skipped_sections, repeated_blocks, empty_sections, heading_issues, quality_scores, worst_documents, site_summary, quality_verdict, line_metrics,
+        url_parts, same_origin_pairs, list_pages, discovery_controls, url_buckets, heading_clamp, heading_demotion, same_title_merge, merged_titles, alt_echoes, alt_echo_texts,
+        fenced_spaces, skipped_sections, skipped_texts, repeated_blocks, repeated_block_texts, empty_sections, heading_issues, quality_scores, worst_documents, site_summary, quality_verdict, line_metrics,
         library_documents, library_index, library_summary, baseline_changes, baseline_refresh, quality_regressions, exact_duplicates, file_names, lost_tokens,
         html_link_counts, page_markdown, page_fingerprints, page_specs, page_shells, worst_pages, page_notes,
     )
@@ -280,13 +341,13 @@ SCORES = (
 q0 AS (
   SELECT p.path, coalesce(st.structure, []::VARCHAR[]) AS structure, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words,
          len(regexp_extract_all(text, '(?m)^#{1,6}[ \\t\\n\\x0B\\f\\r]+')) AS heads, len(regexp_extract_all(text, '!\\[[^\\]]*\\]\\([^)]+\\)')) AS imgs,
-         contains(text, '<div') OR contains(text, '<span') AS raw
+         contains(text, '<div') OR contains(text, '<span') AS raw, list_filter(['产品资讯', '其他产品', '正在加载', '请稍候', '显示更多'], lambda k: contains(text, k)) AS dirt
   FROM paths p LEFT JOIN st USING (doc)),
 q AS (
   SELECT path, CAST(greatest(0, 100 - least(30, 10 * len(structure)) - CASE WHEN words < 120 THEN 30 ELSE 0 END - CASE WHEN imgs = 0 THEN 10 ELSE 0 END
-           - CASE WHEN raw THEN 10 ELSE 0 END) AS INTEGER) AS score,
+           - least(20, 8 * len(dirt) + CASE WHEN raw THEN 10 ELSE 0 END)) AS INTEGER) AS score,
          list_concat(list_concat(structure, CASE WHEN imgs = 0 THEN ['no-image'] ELSE []::VARCHAR[] END),
-           list_concat(CASE WHEN raw THEN ['raw-html'] ELSE []::VARCHAR[] END, CASE WHEN words < 120 THEN ['too-short'] ELSE []::VARCHAR[] END)) AS issues,
+           list_concat(list_concat(list_transform(dirt, lambda k: 'pollution:' || k), CASE WHEN raw THEN ['raw-html'] ELSE []::VARCHAR[] END), CASE WHEN words < 120 THEN ['too-short'] ELSE []::VARCHAR[] END)) AS issues,
          CAST(words AS INTEGER) AS word_count, CAST(heads AS INTEGER) AS heading_count, CAST(imgs AS INTEGER) AS image_count, 0 AS resource_count
   FROM q0),
 """
@@ -317,7 +378,7 @@ SLUG = r"string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$',
 HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^/?#]+)', 1))"
 SCHEME = r"lower(regexp_extract({0}, '^([a-zA-Z]+)://', 1))"
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = recipes.ORACLES | {
     "html_link_counts": r"""WITH a AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 'gs'), '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)
         SELECT page_id, len(t) AS n, CAST(coalesce(list_sum(list_transform(t, lambda x: length(trim(replace(replace(replace(x, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'))))), 0) AS BIGINT) AS letters FROM a""",
     "page_specs": """SELECT page_id, 'Auto' AS layer, CAST(o AS INTEGER) AS ord, k, v FROM (
@@ -342,6 +403,12 @@ ORACLES: dict[str, str] = {
         n AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY pos) - 1) // 2 AS pair FROM t),
         o AS (SELECT *, row_number() OVER (PARTITION BY doc, pair ORDER BY level, pos) AS r FROM n)
         SELECT doc, pos, CAST(level AS INTEGER) AS level FROM o WHERE r = 1""",
+    "merged_titles": MD + """t AS (SELECT doc, pos, length(regexp_extract(line, '^(#+) .*$', 1)) AS level FROM m WHERE pos % 3 = 0),
+        n AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY pos) - 1) // 2 AS pair FROM t),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc, pair ORDER BY level, pos) AS r FROM n)
+        SELECT doc, CAST(count(*) AS INTEGER) AS n, md5(string_agg(repeat('#', CAST(level AS INTEGER)) || ' t', chr(10) ORDER BY pos)) AS text_md5 FROM o WHERE r = 1 GROUP BY doc""",
+    "alt_echo_texts": MD + """a AS (SELECT doc, pos, CASE pos % 3 WHEN 0 THEN '![t' || pos // 3 || 'x](u)' WHEN 2 THEN 't' || pos // 3 END AS line FROM m)
+        SELECT doc, CAST(count(*) AS INTEGER) AS n, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM a WHERE line IS NOT NULL GROUP BY doc""",
     "alt_echoes": MD + """a AS (SELECT doc, pos, CASE WHEN pos % 2 = 0 THEN '![a](x)' WHEN length(regexp_extract(line, '([A-Za-z]+)', 1)) % 2 = 0 THEN 'a' ELSE line END AS line FROM m)
         SELECT doc, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM a WHERE NOT (pos % 2 = 1 AND line = 'a') GROUP BY doc""",
     "fenced_spaces": MD + """f AS (SELECT doc, pos, CASE WHEN pos % 5 = 2 THEN '``` x' ELSE replace(line, 'e', chr(160)) END AS line FROM m),
@@ -354,19 +421,41 @@ ORACLES: dict[str, str] = {
         x AS (SELECT k.*, (SELECT level FROM w v WHERE v.doc = k.doc AND v.pos = k.from_pos) AS at FROM k)
         SELECT doc, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM x WHERE NOT hit AND (from_pos IS NULL
           OR EXISTS (SELECT 1 FROM w v WHERE v.doc = x.doc AND v.pos > x.from_pos AND v.pos <= x.pos AND v.level <= x.at)) GROUP BY doc""",
+    "skipped_texts": MD.rstrip().replace("m AS (", "m0 AS (") + """
+        m AS (SELECT doc, pos, CASE WHEN pos % 9 = 3 THEN regexp_replace(line, '^(#+) .*$', '\\1 Watch') ELSE line END AS line FROM m0),
+        """ + HEADS + """w AS (SELECT *, coalesce(level IS NOT NULL AND (title IN ('Watch', 'Listen', 'Read') OR ends_with(title, '资源')), false) AS hit FROM h),
+        k AS (SELECT w.*, (SELECT max(v.pos) FROM w v WHERE v.doc = w.doc AND v.hit AND v.pos <= w.pos) AS from_pos FROM w),
+        x AS (SELECT k.*, (SELECT level FROM w v WHERE v.doc = k.doc AND v.pos = k.from_pos) AS at FROM k),
+        y AS (SELECT doc, string_agg(line, chr(10) ORDER BY pos) AS t FROM x WHERE NOT hit AND (from_pos IS NULL
+          OR EXISTS (SELECT 1 FROM w v WHERE v.doc = x.doc AND v.pos > x.from_pos AND v.pos <= x.pos AND v.level <= x.at)) GROUP BY doc),
+        z AS (SELECT d.doc_id AS doc, regexp_replace(regexp_replace(coalesce(t, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS t FROM documents d LEFT JOIN y ON y.doc = d.doc_id)
+        SELECT doc, CAST(len(string_split(t, chr(10))) AS INTEGER) AS n, md5(t) AS text_md5 FROM z""",
     "repeated_blocks": rf"""WITH p AS (SELECT doc_id AS doc, string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10) || chr(10), 'g'), chr(10)) AS parts FROM documents),
         l AS (SELECT doc, CAST(i - 1 AS INTEGER) AS pos, regexp_replace(parts[i], {WS}, '', 'g') AS s FROM p, UNNEST(range(1, len(parts) + 1)) AS t(i)),
         r AS (SELECT *, sum(CASE WHEN s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS run FROM l),
         k AS (SELECT doc, run, string_agg(s, chr(10) ORDER BY pos) AS key FROM r WHERE s <> '' GROUP BY doc, run),
         f AS (SELECT doc, run, row_number() OVER (PARTITION BY doc, key ORDER BY run) AS n FROM k)
         SELECT r.doc, count(*) AS n, CAST(sum(r.pos) AS BIGINT) AS places FROM r LEFT JOIN f USING (doc, run) WHERE r.s = '' OR f.n = 1 GROUP BY r.doc""",
-    "empty_sections": MD.rstrip().replace("m AS (", "m0 AS (") + "\nm AS (SELECT * FROM m0 WHERE pos % 3 <> 1 OR doc % 2 = 0),\n" + HEADS + EMPTY.rstrip().rstrip(",") + "\nSELECT doc, pos, level, md5(title) AS title_md5 FROM e",
+    "repeated_block_texts": rf"""WITH p AS (SELECT doc_id AS doc, string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10) || chr(10), 'g'), chr(10)) AS parts FROM documents),
+        l AS (SELECT doc, CAST(i - 1 AS INTEGER) AS pos, regexp_replace(parts[i], {WS}, '', 'g') AS s FROM p, UNNEST(range(1, len(parts) + 1)) AS t(i)),
+        r AS (SELECT *, sum(CASE WHEN s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS run FROM l),
+        k AS (SELECT doc, run, string_agg(s, chr(10) ORDER BY pos) AS key FROM r WHERE s <> '' GROUP BY doc, run),
+        f AS (SELECT doc, run, row_number() OVER (PARTITION BY doc, key ORDER BY run) AS n FROM k)
+        SELECT d.doc_id AS doc, CAST(count(r.s) AS INTEGER) AS n, md5(coalesce(string_agg(r.s, chr(10) ORDER BY r.pos), '')) AS kept_md5
+        FROM documents d LEFT JOIN (SELECT r.* FROM r JOIN f USING (doc, run) WHERE r.s <> '' AND f.n = 1) r ON r.doc = d.doc_id GROUP BY d.doc_id""",
+    "empty_sections": MD.rstrip().replace("m AS (", "m0 AS (") + "\nm AS (SELECT doc, pos, CASE WHEN pos % 3 <> 1 OR doc % 2 = 0 THEN line ELSE '' END AS line FROM m0),\n" + HEADS + EMPTY.rstrip().rstrip(",") + "\nSELECT doc, pos, level, md5(title) AS title_md5 FROM e",
     "heading_issues": MD + HEADS + ISSUES.rstrip().rstrip(",") + "\nSELECT doc, issue FROM i",
     "quality_scores": MD + HEADS + SCORES.rstrip().rstrip(",") + "\nSELECT path, score, md5(array_to_string(issues, ',')) AS issues_md5, word_count, heading_count, image_count, resource_count FROM q",
     "worst_documents": MD + HEADS + SCORES.rstrip().rstrip(",") + "\nSELECT path, score, word_count FROM q ORDER BY score, path LIMIT 20",
-    "site_summary": MD + HEADS + SCORES.rstrip().rstrip(",") + "\nSELECT round_even(avg(score), 1) AS site_score, count(*) AS files_scored, false AS broken_image, false AS broken_resource FROM q",
-    "quality_verdict": MD + HEADS + SCORES.rstrip().rstrip(",") + """
-        SELECT false AS ok, CASE WHEN avg(score) < 69.95 THEN 'site-score-below-70,' ELSE '' END || 'missing-expected-specs' AS reasons, 'fix_config_and_rerun_sample' AS next_action FROM q""",
+    "site_summary": MD + HEADS + SCORES.rstrip().rstrip(",") + """
+        SELECT round_even(avg(score), 1) AS site_score, count(*) AS files_scored, bool_or(len(list_filter(issues, lambda i: contains(i, 'broken-image'))) > 0) AS broken_image,
+        bool_or(len(list_filter(issues, lambda i: contains(i, 'broken-resource'))) > 0) AS broken_resource FROM q""",
+    "quality_verdict": MD + HEADS + SCORES.rstrip().rstrip(",") + """,
+        v AS (SELECT list_filter([CASE WHEN count(*) = 0 THEN 'no-files-scored' END, CASE WHEN round_even(avg(score), 1) < 70 THEN 'site-score-below-70' END,
+          CASE WHEN bool_or(len(list_filter(issues, lambda i: contains(i, 'broken-image'))) > 0) THEN 'broken-image' END,
+          CASE WHEN bool_or(len(list_filter(issues, lambda i: contains(i, 'broken-resource'))) > 0) THEN 'broken-resource' END, 'missing-expected-specs'], lambda x: x IS NOT NULL) AS r FROM q)
+        SELECT len(r) = 0 AS ok, array_to_string(r, ',') AS reasons, CASE WHEN len(r) = 0 THEN 'approve_full_run' WHEN list_contains(r, 'no-files-scored') THEN 'fix_discovery_or_selectors'
+          ELSE 'fix_config_and_rerun_sample' END AS next_action FROM v""",
     "line_metrics": MD + PATHS.rstrip().rstrip(",") + f"\nSELECT path, {METRICS} FROM paths",
     "library_documents": MD + HEADS + LIBRARY.rstrip().rstrip(",") + "\nSELECT path, md5(title) AS title_md5, section, category, md5(brief) AS brief_md5, headings FROM lib",
     "library_index": MD + HEADS + LIBRARY.rstrip().rstrip(",") + """
@@ -374,14 +463,15 @@ ORACLES: dict[str, str] = {
         FROM lib GROUP BY section, category""",
     "library_summary": """WITH l AS (SELECT CASE source WHEN 'src0' THEN 'product' WHEN 'src1' THEN 'solution' WHEN 'src2' THEN 'industry' ELSE 'other' END AS section, lang AS category FROM documents)
         SELECT section, category, count(*) AS docs_in_section, (SELECT count(*) FROM l b WHERE b.category = a.category) AS docs_of_category FROM l a GROUP BY section, category""",
-    "baseline_changes": """WITH o AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN md5('old') ELSE md5(html) END AS fp FROM pages WHERE page_id % 3 <> 0),
-        n AS (SELECT page_id, md5(html) AS fp FROM pages WHERE page_id % 7 <> 0),
-        j AS (SELECT CAST(coalesce(n.page_id, o.page_id) AS VARCHAR) AS id, CASE WHEN n.page_id IS NULL THEN 'deleted' WHEN o.page_id IS NULL THEN 'new' WHEN n.fp <> o.fp THEN 'changed' END AS change_type
-              FROM n FULL JOIN o ON n.page_id = o.page_id)
+    "baseline_changes": """WITH o AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN md5('old') ELSE md5(html) END AS fp FROM pages WHERE page_id % 3 <> 0
+          UNION ALL SELECT page_id + 1000000, md5(html) FROM pages WHERE page_id % 21 = 0),
+        j AS (SELECT CAST(coalesce(n.page_id, o.page_id) AS VARCHAR) AS id, CASE WHEN n.page_id IS NULL THEN 'deleted' WHEN o.page_id IS NULL THEN 'new' WHEN md5(n.html) <> o.fp THEN 'changed' END AS change_type
+              FROM pages n FULL JOIN o ON n.page_id = o.page_id)
         SELECT 'product' AS kind, id, change_type FROM j WHERE change_type IS NOT NULL""",
-    "baseline_refresh": """SELECT CAST(page_id AS VARCHAR) AS id, md5(CASE WHEN page_id % 2 = 0 THEN html ELSE url END) AS fp FROM pages WHERE page_id % 3 <> 0 OR page_id % 2 = 0""",
-    "quality_regressions": MD + PATHS + f"""w AS (SELECT path, {METRICS} FROM (SELECT path, CASE WHEN doc % 4 = 0 THEN text || chr(10) || '## more' || chr(10) || '[[a]] ' || text ELSE text END AS text FROM paths WHERE doc % 13 <> 0)),
-        n AS (SELECT path, {METRICS} FROM (SELECT path, text FROM paths WHERE doc % 11 <> 0)),
+    "baseline_refresh": """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS fp FROM pages UNION ALL SELECT CAST(page_id + 1000000 AS VARCHAR), md5(url) FROM pages WHERE page_id % 21 = 0""",
+    "quality_regressions": MD + PATHS + f"""w AS (SELECT path, {METRICS} FROM (SELECT path, CASE WHEN doc % 4 = 0 THEN text || chr(10) || '## more' || chr(10) || '[[a]] ' || text ELSE text END AS text FROM paths WHERE doc % 13 <> 0
+            UNION ALL SELECT 'gone/' || path, text FROM paths WHERE doc % 11 = 0)),
+        n AS (SELECT path, {METRICS} FROM paths),
         j AS (SELECT coalesce(n.path, w.path) AS path, n.path IS NULL AS gone, w.path IS NULL AS fresh, array_to_string(list_filter([
             CASE WHEN n.h1 < w.h1 THEN 'h1: ' || w.h1 || '→' || n.h1 END, CASE WHEN n.h2 < w.h2 THEN 'h2: ' || w.h2 || '→' || n.h2 END, CASE WHEN n.h3 < w.h3 THEN 'h3: ' || w.h3 || '→' || n.h3 END,
             CASE WHEN n.table_rows < w.table_rows * 0.8 THEN 'table_rows: ' || w.table_rows || '→' || n.table_rows END,

@@ -238,19 +238,21 @@ def _text(config: dict, kind: str) -> Column:
     sep = tpl.get("block_separator") or SEPARATOR
     shown = {"name": F.col("name"), "features": F.col("features"), "rel": F.col("cover_file"), "prefix": F.repeat(F.lit("#"), F.col("level"))}
     filled = lambda name: F.nullif(template(tpl.get(name) or "", shown), F.lit(""))
+    body = F.nullif(F.trim(F.coalesce("md", F.lit(""))), F.lit(""))
     if kind == "industry":
         title = F.coalesce(filled("industry_heading"), F.concat(F.lit("# "), "name", F.lit(" 解决方案")))
         cases = F.when(F.coalesce("cases_md", F.lit("")) != "", F.concat(F.lit(sep + (tpl.get("industry_cases_heading") or CASES) + "\n"), "cases_md"))
     else:
         number = F.when(F.col("number") != "", F.concat("number", F.lit(" "))).otherwise("")
         title = F.coalesce(filled("product_heading"), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), number, "name"))
-        cases = F.lit(None).cast("string")
-    specs = F.when(_spec_text(F.col("level")).isNotNull(), F.concat(F.lit(sep), _spec_text(F.col("level"))))
-    made = {
-        "cover_image": F.when(F.col("cover_file").isNotNull(), F.concat(filled("product_cover_image"), F.lit("\n"))),
-        "features": F.when(F.coalesce("features", F.lit("")) != "", F.concat(filled("product_features"), F.lit("\n"))), "body_html": F.nullif(F.trim(F.coalesce("md", F.lit(""))), F.lit("")),
-        "spec_tables": specs, "cases": cases,
-    }
+    made = {"body_html": body}
+    if kind == "industry":
+        made["cases"] = cases
+    else:
+        specs = _spec_text(F.col("level"))
+        made["cover_image"] = F.when(F.col("cover_file").isNotNull(), F.concat(filled("product_cover_image"), F.lit("\n")))
+        made["features"] = F.when(F.coalesce("features", F.lit("")) != "", F.concat(filled("product_features"), F.lit("\n")))
+        made["spec_tables"] = F.when(specs.isNotNull(), F.concat(F.lit(sep), specs))
     return F.array_join(F.array_compact(F.array(F.concat(title, F.lit("\n")), *[made[b] for b in _blocks(config, kind) if b in made])), "\n")
 
 
