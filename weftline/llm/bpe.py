@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_by_bytes, cols, with_results
+from .common import bounded_batches, chunks_by_bytes, cols, with_results
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers, in each of two generations.
@@ -226,6 +226,7 @@ def _codec(name: str, shared, pattern: str) -> Codec:
 
 
 def _mapper(spark: SparkSession, path: str, pattern: str, work: Callable) -> Callable:
+    bounded_batches(spark)
     ranks = read_ranks(path)
     name = xxhash.xxh3_64_hexdigest(pattern.encode() + b"".join(ranks))
     shared = spark.sparkContext.broadcast(ranks)

@@ -101,6 +101,17 @@ def with_results(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+#: Bytes of the batches that texts travel in between the JVM and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches by bytes, unless somebody set a bound: by rows alone, a batch of long texts has any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cols(df: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in df.columns]
 

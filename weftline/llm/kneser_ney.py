@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_by_bytes, local_folder, put_file, staged, with_results
+from .common import bounded_batches, chunks_by_bytes, local_folder, put_file, staged, with_results
 
 #: Tokens for each reducer; pairs that a map task holds before it sends them; bytes of text at a time.
 PART, HELD, CHUNK = 4 << 20, 4 << 20, 4 << 20
@@ -280,6 +280,7 @@ def discounts(n: list[int]) -> np.ndarray:
 def train(rows: DataFrame, text: str = "text") -> Model:
     """Count the whole texts of ``rows`` and write the model's arrays to the shared folder."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     docs = rows.select(F.col(f"`{text}`").alias("text"))
     size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     m = Model()
@@ -456,6 +457,7 @@ def score_texts(m: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+    bounded_batches(df.sparkSession)
     base = with_results(df.drop(text), names)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = [T.LongType()] * 3 + [T.DoubleType()] * 3

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_by_bytes, cols, with_results
+from .common import bounded_batches, chunks_by_bytes, cols, with_results
 
 #: Buckets of hashed n-grams, lengths in bytes of the n-grams, documents that classifiers are fitted on at most.
 WIDTH, GRAMS, SAMPLE = 8192, (1, 2, 3), 1600
@@ -141,6 +141,7 @@ def bucket(doc_id: str) -> Column:
 
 def fit(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a sample of the rows of known language that aren't ``held_out``."""
+    bounded_batches(df.sparkSession)
     rows = df.filter(~held_out & F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
     names = F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.lit("sample"), f"`{doc_id}`", f"`{text}`").alias("draw")
     known = rows.select(*names, F.col(f"`{text}`").alias("text"))
@@ -179,6 +180,7 @@ def fit(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "te
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with lang_pred, score (double, 0 to 1) and ambiguous."""
+    bounded_batches(df.sparkSession)
     base = with_results(df, ["lang_pred", "score", "ambiguous"])
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cols, components, free_name, merge_labels, run_starts, sieved, split_hot, staged, whole_runs, with_results
+from .common import bounded_batches, cols, components, free_name, merge_labels, run_starts, sieved, split_hot, staged, whole_runs, with_results
 
 SEED = 42
 BITS = 3
@@ -77,6 +77,7 @@ def _print_of(hashes: list[int]) -> int:
 
 def with_fingerprints(df: DataFrame, text: str = "text", width: int = 3, out: str = "fingerprint") -> DataFrame:
     """``df`` without ``text``, with ``out`` (long: the fingerprint's bits)."""
+    bounded_batches(df.sparkSession)
     rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (text, out)])
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.LongType())])
 
@@ -186,6 +187,7 @@ def _set(text: str | None, width: int) -> np.ndarray:
 
 def _with_bands(slim: DataFrame, width: int) -> DataFrame:
     """(id, h, size, fp, bands) of each row of (id, h, t)."""
+    bounded_batches(slim.sparkSession)
     sized = slim.select("id", "h", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("size"), "t")
     schema = T.StructType([*sized.drop("t").schema.fields, T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 

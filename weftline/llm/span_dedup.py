@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_by_bytes, free_name, sieved, staged, with_results
+from .common import bounded_batches, chunks_by_bytes, free_name, sieved, staged, with_results
 
 SENTENCES, WORDS, LONG, WINDOW = 2, 16, 11, 6
 #: Occurrences from which a span is joined apart, and such spans whose list is broadcast.
@@ -157,6 +157,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _all_spans(df: DataFrame, text: str, key: str, order: str) -> DataFrame:
     """(id, h, span, first, last) of every text's spans, and one row a text with a null span, whose ``first`` is its number of sentences."""
+    bounded_batches(df.sparkSession)
     kind = df.schema[order].dataType
     schema = T.StructType([
         T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("span", T.LongType()),
