@@ -7,7 +7,8 @@ takes time in proportion to its length. Rows stay where they are: there is no sh
 
 Kinds with a base definition (spans leftmost and non-overlapping within a kind, in code points, end exclusive):
 email, ip, card, phone. Kinds that the method adds: ``account`` (an IBAN with right check digits; a number of the shape
-ddd-dd-dddd behind the cue "ssn") and ``url`` (an address whose authority has user information).
+ddd-dd-dddd behind a cue such as "ssn"; 6 to 17 digits behind a cue such as "account number"), ``url`` (an address whose authority has user
+information) and ``secret`` (what is assigned to a cue such as "password" or "api_key"; keys that begin as known issuers' do).
 
 Nulls and rows: a null text is an empty one; rows, repeated or not, each give a row; an empty table gives an empty result;
 columns named like a result give way.
@@ -25,13 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cols, with_results
+from .common import bounded_batches, cols, with_results
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "url")
+KINDS = (*BASE, "account", "url", "secret")
 DIGITS = "0123456789"
 SCHEMES = ("http://", "https://", "ftp://", "HTTP://", "HTTPS://", "FTP://")
 SSN_CUES = ("ssn", "SSN", "social security")
+ACCOUNT_CUES = ("account number", "account no", "account nr", "account id", "acct", "customer number", "customer id", "routing number", "passport number", "passport no")
+#: Behind a password's name any value of some length counts, behind the others' one with a digit.
+PASSWORD_CUES = ("password", "passwd", "passphrase", "passcode")
+SECRET_CUES = ("api_key", "api-key", "apikey", "api key", "access_key", "access key", "secret_key", "secret key", "secret", "token", "auth_key")
+KEY_SHAPES = {"AKIA": r"[0-9A-Z]{16}", "ASIA": r"[0-9A-Z]{16}", "ghp_": r"[0-9A-Za-z]{36}", "gho_": r"[0-9A-Za-z]{36}", "sk-": r"[0-9A-Za-z_-]{20,}", "xoxb-": r"[0-9A-Za-z-]{10,}", "xoxp-": r"[0-9A-Za-z-]{10,}"}
 IBAN_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR".split()
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,13 +46,18 @@ _chain = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _dial = re.compile(r"[ ().0-9-]*")
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ssn = re.compile(r"[^0-9\n]{0,12}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_account = re.compile(r"[^0-9\n]{0,8}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+_assigned = re.compile(r"""["']?[ \t]{0,3}(?:[:=]|is(?=[ \t]))[ \t]{0,3}["']?([^\s"'<>,;]{4,})""")
+_shapes = {k: re.compile(v + r"(?![0-9A-Za-z])") for k, v in KEY_SHAPES.items()}
 _user = re.compile(r"[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, words in (("@", "@"), ("+", "+"), ("d", DIGITS), ("u", SCHEMES), ("s", SSN_CUES)):
+    cased = lambda words: [x for w in words for x in dict.fromkeys((w, w.upper(), w.capitalize(), w.title()))]
+    anchors = (("@", "@"), ("+", "+"), ("d", DIGITS), ("u", SCHEMES), ("s", SSN_CUES), ("n", cased(ACCOUNT_CUES)), ("p", cased(PASSWORD_CUES)), ("k", cased(SECRET_CUES)), ("x", KEY_SHAPES))
+    for kind, words in anchors:
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -76,7 +87,7 @@ def iban(text: str) -> bool:
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_end = number_end = dotted_end = phone_end = account_end = url_end = 0
+    email_end = number_end = dotted_end = phone_end = account_end = url_end = secret_end = 0
     for last, (kind, size) in _AUTOMATON.iter(text):
         at = last - size + 1
         if kind == "d":
@@ -117,12 +128,32 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             if at >= url_end and (m := _user.match(text, last + 1)):
                 url_end = m.end()
                 out["url"].append((at, url_end))
-        elif (m := _ssn.match(text, last + 1)) and m.start(1) >= account_end:
-            account_end = m.end(1)
-            out["account"].append(m.span(1))
+        elif kind in "sn":
+            m = (_ssn if kind == "s" else _account).match(text, last + 1)
+            if m and m.start(1) >= account_end:
+                account_end = m.end(1)
+                out["account"].append(m.span(1))
+        elif at >= secret_end:
+            span = _secret(text, kind, at, last + 1)
+            if span and span[0] >= secret_end:
+                secret_end = span[1]
+                out["secret"].append(span)
     return out
 
 
+def _secret(text: str, kind: str, at: int, end: int) -> tuple[int, int] | None:
+    """What a cue is followed by, or a key with its own beginning; the value alone."""
+    if kind == "x":
+        m = None if text[at - 1 : at].isalnum() and at else _shapes[text[at:end]].match(text, end)
+        return (at, m.end()) if m else None
+    m = _assigned.match(text, end)
+    value = m[1].rstrip(".!?)]}") if m else ""
+    sure = kind == "p" and m and m[0].lstrip("\"' \t")[:1] in ":="
+    if len(value) < (4 if sure else 8) or not (sure or any(c in DIGITS for c in value)):
+        return None
+    return m.start(1), m.start(1) + len(value)
+
+
 def _addresses(text: str, start: int, end: int, found: list[tuple[int, int]]) -> None:
     """Four parts at a time of a chain of numbers joined by dots."""
     parts = text[start:end].split(".")
@@ -175,6 +206,8 @@ def detect(df: DataFrame, text: str = "text", with_text: bool = True) -> DataFra
     base = with_results(df.drop(text), [f.name for f in results])
     schema = T.StructType([*base.schema.fields, *results])
 
+    bounded_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new: list[list] = [[] for _ in results]
