@@ -29,12 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars counts the new text."""
-    done = pii.detect(docs.select("*", F.col("text").alias("original")), "original")
-    text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("redacted"))
-    changed = done.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("new_"), F.col("n_chars").alias("old_"), F.col("spans") != "")
-    return changed.toDF("doc_id", "text", "lang", "source", "new_", "old_", "hit_").select(
-        "doc_id", "text", "lang", "source", F.when(F.col("hit_"), F.col("new_")).otherwise(F.col("old_")).alias("n_chars")
-    )
+    done = pii.detect(docs.select(*COLUMNS, F.col("text").isNull().alias("none_")))  # without finds a text comes back as it was
+    text = F.when(~F.col("none_"), F.col("redacted"))
+    length = F.when(F.col("spans") != "", F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return done.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
