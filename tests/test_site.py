@@ -107,6 +107,38 @@ def test_replace_file_keeps_the_old_one(tmp_path):
     assert p.read_text() == "one" and [x.name for x in tmp_path.iterdir()] == ["a"]
 
 
+@pytest.mark.parametrize("broken_off", ["before", "between", "after"])
+def test_state_survives_a_broken_replacement(spark, tmp_path, broken_off):
+    path = str(tmp_path / "state")
+    assert sinks.state_table(spark, path) is None
+    sinks.replace_table(spark.range(2), path)
+    spark.range(5).write.parquet(path + ".new-x")
+    if broken_off != "before":
+        (tmp_path / "state").rename(tmp_path / "state.old-x")
+    if broken_off == "after":
+        (tmp_path / "state.new-x").rename(tmp_path / "state")
+    assert sinks.state_table(spark, path).count() == (2 if broken_off == "before" else 5)
+    sinks.replace_table(sinks.state_table(spark, path).limit(1), path)  # from itself
+    assert sinks.state_table(spark, path).count() == 1
+
+
+def test_reports_go_where_spark_writes(spark, tmp_path):
+    sinks.put_text(spark, f"file://{tmp_path}/a/b.txt", ["one ", "zwei\u00fc"])
+    sinks.put_text(spark, f"{tmp_path}/a/b.txt", ["new \u4e00"])
+    assert (tmp_path / "a/b.txt").read_text() == "new \u4e00" and [p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")] == ["b.txt"]
+    docs = spark.createDataFrame([("product", "C", "1", "x"), ("industry", "", "2", "y")], "kind string, category string, id string, body string")
+    sinks.write_table(docs, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).filter("kind = 'product'").count() == 1
+
+
+def test_library_index_is_in_order(spark, tmp_path):
+    rows = [("产品/b/x.md", "X", "product", "b", "about x", 1), ("产品/a/z.md", "Z", "product", "a", "", 1), ("产品/a/y.md", "Y", "product", "a", "", 1), ("else.md", "E", "other", "未分类", "", 1)]
+    sinks.write_library(spark.createDataFrame(rows, "path string, title string, section string, category string, brief string, headings int"), str(tmp_path), "S", "2024-05-06")
+    text = (tmp_path / "全库索引.md").read_text()
+    parts = ["## 产品", "### a", "- [Y](产品/a/y.md)", "- [Z](产品/a/z.md)", "### b", "- [X](产品/b/x.md) - about x", "## 解决方案", "暂无解决方案文档", "## 行业", "## 其他", "- [E](else.md)"]
+    assert [text.index(p) for p in parts] == sorted(text.index(p) for p in parts) and "### 未分类" not in text
+
+
 def test_web_source(spark):
     hits = {}
 

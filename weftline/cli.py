@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 from collections.abc import Sequence
 from datetime import date, datetime
@@ -93,9 +92,10 @@ def _run(args) -> int:
         if args.quality_init:
             sinks.replace_table(now, path)
             return 0 if spark.read.parquet(path).head(1) else 1
-        if not os.path.exists(path):
+        before = sinks.state_table(spark, path)
+        if before is None:
             return 1
-        totals = quality.regression_totals(quality.regressions(now, spark.read.parquet(path))).first()
+        totals = quality.regression_totals(quality.regressions(now, before)).first()
         print(json.dumps(totals.asDict()))
         return int(bool(totals.regressions or totals.missing_items))
     pages = spark.read.parquet(args.pages) if args.pages else None
@@ -109,8 +109,8 @@ def _run(args) -> int:
     baseline_path = args.baseline or f"{state}/_baseline"
     failed = 0
     if args.check or args.incremental or args.init:
-        empty = spark.createDataFrame([], corpus.RECORDS["baseline"])
-        old = spark.read.parquet(baseline_path) if os.path.exists(baseline_path) and not args.init else empty
+        kept = None if args.init else sinks.state_table(spark, baseline_path)
+        old = kept if kept is not None else spark.createDataFrame([], corpus.RECORDS["baseline"])
         diff, now = site.changed(found, pages, old)
         if args.init:
             sinks.replace_table(now.filter("fp is not null"), baseline_path)

@@ -37,10 +37,18 @@ def collect(docs: DataFrame, path: str = "path", text: str = "text", products: s
     )
 
 
+def _entry() -> Column:
+    return F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")"), F.when(F.col("brief") != "", F.concat(F.lit(" - "), "brief")).otherwise(""))
+
+
+def entries(library: DataFrame) -> DataFrame:
+    """(section, category, entry): the links as Markdown, a row each, sorted by section, category, title and path."""
+    return library.orderBy("section", "category", "title", "path").select("section", "category", _entry().alias("entry"))
+
+
 def index(library: DataFrame) -> DataFrame:
-    """(section, category, docs, entries): the links of each category as Markdown, in order of title and path."""
-    entry = F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")"), F.when(F.col("brief") != "", F.concat(F.lit(" - "), "brief")).otherwise(""))
-    listed = F.sort_array(F.collect_list(F.struct("title", "path", entry.alias("entry"))))
+    """(section, category, docs, entries): the links of each category as one Markdown text, for small libraries; ``entries`` has rows."""
+    listed = F.sort_array(F.collect_list(F.struct("title", "path", _entry().alias("entry"))))
     return library.groupBy("section", "category").agg(F.count(F.lit(1)).alias("docs"), F.array_join(F.transform(listed, lambda x: x["entry"]), "\n").alias("entries"))
 
 

@@ -35,7 +35,8 @@ def _so_far(*keys: str) -> Window:
 
 
 def _stripped(line: Column | None = None) -> Column:
-    return F.regexp_replace(F.col("line") if line is None else line, r"^\s+|\s+$", "")
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(F.col("line") if line is None else line, r"(?U)^\s+|\s+$", "")
 
 
 def with_headings(lines: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Writing: pages as files or Parquet, sidecars, reports, state. Files are written where rows are; the driver writes summaries only."""
+"""Writing: pages as files or Parquet, sidecars, reports, state. Files are written where rows are; the driver writes summaries only.
+
+Tables, sidecars and reports go to any file system that Spark knows. Trees of files are for mounted folders that every executor sees;
+elsewhere ``write_table`` keeps the same rows as Parquet.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +81,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileSink)
 
 
+def write_table(docs: DataFrame, path: str) -> None:
+    """Documents as Parquet, by kind and category, on any file system."""
+    docs.write.mode("overwrite").partitionBy("kind", "category").parquet(path)
+
+
 def replace_file(path: str | Path, text: str | bytes) -> None:
     """Written beside the target, flushed, then moved over it; on failure the target stays as it was."""
     tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
@@ -92,14 +101,36 @@ def replace_file(path: str | Path, text: str | bytes) -> None:
         raise
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path's file system and a maker of its paths."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def state_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A state table that ``replace_table`` writes, or None. A replacement that was broken off between its two renames is finished first."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p(path)):
+        listed = lambda kind: sorted(x.getPath().toString() for x in (fs.globStatus(p(f"{path}.{kind}-*")) or ()))
+        old, new = listed("old"), [x for x in listed("new") if fs.exists(p(f"{x}/_SUCCESS"))]
+        if not old:
+            return None  # never written, or never wholly
+        fs.rename(p(new[-1] if new else old[-1]), p(path))
+        for x in [*listed("old"), *listed("new")]:
+            fs.delete(p(x), True)
+    return spark.read.parquet(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """A Parquet state table is written beside the old one and then takes its place; the old one may be among its sources."""
+    """A Parquet state table is written beside the old one and then takes its place; the old one may be among its sources.
+
+    Only between two renames is there none at ``path``; ``state_table`` finishes what was broken off there.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
+    mark = uuid.uuid4().hex[:8]
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
     df.write.parquet(new)
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _hadoop(spark, path)
     had = fs.exists(p(path))
     if had:
         fs.rename(p(path), p(old))
@@ -109,6 +140,24 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def put_text(spark: SparkSession, path: str | Path, parts: Iterable[str]) -> None:
+    """A text in parts, written beside the target on whatever file system its path names, then moved over it."""
+    fs, p = _hadoop(spark, str(path))
+    target, tmp = p(str(path)), p(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    fs.mkdirs(target.getParent())
+    out = fs.create(tmp)
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode("utf-8")))
+        out.close()
+        fs.delete(target, False)
+        fs.rename(tmp, target)
+    except BaseException:
+        out.close()
+        fs.delete(tmp, False)
+        raise
+
+
 def spec_records(rows: DataFrame) -> DataFrame:
     """(page_id, title, rel_path, source, specs) of attributes (the same, ord, k, v), each key's first value."""
     keys = ["page_id", "title", "rel_path", "source"]
@@ -147,15 +196,16 @@ def write_sidecar(records: DataFrame, root: str, kind: str, run_at: str) -> str
     summary = (spec_summary if kind == "specs" else resource_summary)(records, n).first().asDict()
     keep = ("pages_with_specs", "total_specs") if kind == "specs" else ("pages_with_resources", "total_resources", "total_bytes")
     head = {"schema": f"webextract-{kind}-v1", "run_at": run_at, **{k: summary[k] for k in keep}}
-    path = Path(root, "_meta", f"_{kind}.json")
-    path.parent.mkdir(parents=True, exist_ok=True)
+    path = f"{str(root).rstrip('/')}/_meta/_{kind}.json"
     rows = records.orderBy("rel_path", "page_id").select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()
-    with open(tmp := f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write(json.dumps(head, ensure_ascii=False, indent=2)[:-2] + ',\n  "records": [\n')
-        f.writelines(("    " if i == 0 else ",\n    ") + r.j for i, r in enumerate(rows))
-        f.write("\n  ]\n}\n")
-    os.replace(tmp, path)
-    return str(path)
+
+    def parts() -> Iterator[str]:
+        yield json.dumps(head, ensure_ascii=False, indent=2)[:-2] + ',\n  "records": [\n'
+        yield from (("    " if i == 0 else ",\n    ") + r.j for i, r in enumerate(rows))
+        yield "\n  ]\n}\n"
+
+    put_text(records.sparkSession, path, parts())
+    return path
 
 
 def write_quality_report(rows: DataFrame, root: str, site: str, run_at: str, specs: dict | None = None, resources: dict | None = None, expect: tuple[bool, bool] = (False, False)) -> dict:
@@ -172,13 +222,12 @@ def write_quality_report(rows: DataFrame, root: str, site: str, run_at: str, spe
         "worst": low, "spec_summary": specs, "resource_summary": resources, "expectations": {"specs": expect[0], "resources": expect[1]},
         "agent_verdict": {"ok": v.ok, "reasons": list(v.reasons), "next_action": v.next_action},
     }
-    meta = Path(root, "_meta")
-    meta.mkdir(parents=True, exist_ok=True)
-    rows.coalesce(1).write.mode("overwrite").json(str(meta / "_quality_files"))
-    replace_file(meta / "_quality_report.json", json.dumps(report, ensure_ascii=False, indent=2))
+    spark, base = rows.sparkSession, str(root).rstrip("/")
+    rows.write.mode("overwrite").json(f"{base}/_meta/_quality_files")
+    put_text(spark, f"{base}/_meta/_quality_report.json", [json.dumps(report, ensure_ascii=False, indent=2)])
     text = ["# 质量报告", "", f"总体分数：{facts.site_score}", f"文件数：{facts.files_scored}", f"判定：{v.next_action}", "", "## 最差样本"]
     text += [f"- {r['score']} · `{r['path']}` · {', '.join(r['issues'][:6]) or '无'}" for r in low]
-    replace_file(Path(root, "_quality_report.md"), "\n".join(text) + "\n")
+    put_text(spark, f"{base}/_quality_report.md", ["\n".join(text) + "\n"])
     return report
 
 
@@ -186,20 +235,29 @@ SECTIONS = (("product", "产品"), ("solution", "解决方案"), ("industry", "
 
 
 def write_library(library: DataFrame, root: str, site: str, run_date: str, base_url: str = "", score: float | None = None) -> dict[str, str]:
-    """README, index and summary of a library. Index entries arrive one category at a time."""
-    from ..operators.library import index, summary
+    """README, index and summary of a library. The index is streamed: sorted entries arrive a partition at a time, no category is one row."""
+    from ..operators.library import entries, summary
 
-    out = Path(root)
-    out.mkdir(parents=True, exist_ok=True)
+    spark, out = library.sparkSession, str(root).rstrip("/")
     counts = {(r.section, r.category): (r.docs_in_section, r.docs_of_category) for r in summary(library).orderBy("section", "category").toLocalIterator()}
     head = ["", f"> 自动生成 | {run_date}"]
     readme = [f"# {site} 资料库", *head, *(["", f"**来源**：{base_url}"] if base_url else []), "", "- [全库索引](全库索引.md)", "- [全库摘要](全库摘要.md)"]
-    text = [f"# {site} 全库索引", *head]
-    for section, title in (*SECTIONS, ("other", "其他")):
-        rows = index(library.filter(F.col("section") == section)).orderBy("category").toLocalIterator()
-        part = [x for r in rows for x in ([r.entries] if section == "other" else [f"\n### {r.category}\n", r.entries])]
-        if part or section != "other":
-            text += ["", f"## {title}", *(part or ["", f"暂无{title}文档"])]
+
+    def index() -> Iterator[str]:
+        yield "\n".join([f"# {site} 全库索引", *head]) + "\n"
+        for section, title in (*SECTIONS, ("other", "其他")):
+            own = any(sec == section for sec, _ in counts)
+            if own or section != "other":
+                yield f"\n## {title}\n"
+            if not own and section != "other":
+                yield f"\n暂无{title}文档\n"
+            seen = None
+            for r in entries(library.filter(F.col("section") == section)).toLocalIterator() if own else ():
+                if r.category != seen and section != "other":
+                    yield f"\n### {r.category}\n\n"
+                seen = r.category
+                yield r.entry + "\n"
+
     total = lambda s: sum(n for (sec, _), (n, _) in counts.items() if s in ("", sec))
     lines = [f"# {site} 全库摘要", *head, "", "## 统计", "", f"- 文档总数：{total('')}"]
     lines += [f"- {t}文档：{total(s)}" for s, t in SECTIONS] + [f"- {t}分类：{sum(sec == s for sec, _ in counts)}" for s, t in SECTIONS]
@@ -207,10 +265,10 @@ def write_library(library: DataFrame, root: str, site: str, run_date: str, base_
     for s, t in SECTIONS:
         own = [f"- {c}：{n}" for (sec, c), (_, n) in counts.items() if sec == s]
         lines += ["", f"## {t}分类", "", *own] if own or s == "product" else []
-    names = {"readme": ("README.md", readme), "index": ("全库索引.md", text), "summary": ("全库摘要.md", lines)}
-    for file, body in names.values():
-        replace_file(out / file, "\n".join(body) + "\n")
-    return {k: str(out / f) for k, (f, _) in names.items()}
+    names = {"readme": ("README.md", ["\n".join(readme) + "\n"]), "index": ("全库索引.md", index()), "summary": ("全库摘要.md", ["\n".join(lines) + "\n"])}
+    for file, parts in names.values():
+        put_text(spark, f"{out}/{file}", parts)
+    return {k: f"{out}/{f}" for k, (f, _) in names.items()}
 
 
 def write_validation_report(report: dict, root: str) -> tuple[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes, pages
-from ..sources.sinks import replace_table
+from ..sources.sinks import replace_table, state_table
 
 PAGES = "page_id long, url string, html string"
 
@@ -25,10 +25,8 @@ def snapshot(batch: DataFrame, kind: str = "product") -> DataFrame:
 
 
 def _baseline(spark: SparkSession, path: str) -> DataFrame:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], "kind string, id string, name string, category string, fp string")
+    table = state_table(spark, path)
+    return table if table is not None else spark.createDataFrame([], "kind string, id string, name string, category string, fp string")
 
 
 def run(
