@@ -164,24 +164,30 @@ def _brute_lm(texts, held):
     tk = [[*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), b" END"] for t in texts]
     train = [t for t, h in zip(tk, held, strict=True) if not h]
     c = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([b" START", *t], t, strict=False))
+    S = b" START"
+    three = lambda t: zip([S, S, *t], [S, *t], t, strict=False)
+    triples = Counter(x for t in train for x in three(t))
+    pairs = Counter((b, w) for _, b, w in triples)
+    near = Counter(w for _, w in pairs)
     n, v = sum(c.values()), len(c)
     of = lambda counts: [sum(1 for x in counts.values() if x == k) for k in (1, 2, 3, 4)]
-    high, near = kneser_ney.discounts(of(pairs)), Counter(w for _, w in pairs)
-    low = kneser_ney.discounts(of(near))
+    high, middle, low = (kneser_ney.discounts(of(x)) for x in (triples, pairs, near))
     spare = sum(low[min(x, 3)] for x in near.values()) / len(pairs) if pairs else 1.0
-    mass = Counter()
-    for (a, _), x in pairs.items():
-        mass[a] += high[min(x, 3)]
-    seen = Counter(c) + Counter({b" START": len(train)})
-    del seen[b" END"]
-
-    def p(a, w):
-        alone = max(near[w] - low[min(near[w], 3)], 0) / max(len(pairs), 1) + spare / (v + 1)
-        return (max(pairs[a, w] - high[min(pairs[a, w], 3)], 0) + mass[a] * alone) / seen[a] if seen[a] else alone
+    of_two, mass_two, of_one, mass_one = Counter(), Counter(), Counter(), Counter()
+    for (a, b, _), x in triples.items():
+        of_two[a, b] += x
+        mass_two[a, b] += high[min(x, 3)]
+    for (b, _), x in pairs.items():
+        of_one[b] += x
+        mass_one[b] += middle[min(x, 3)]
+
+    def p(a, b, w):
+        one = max(near[w] - low[min(near[w], 3)], 0) / max(len(pairs), 1) + spare / (v + 1)
+        two = (max(pairs[b, w] - middle[min(pairs[b, w], 3)], 0) + mass_one[b] * one) / of_one[b] if of_one[b] else one
+        return (max(triples[a, b, w] - high[min(triples[a, b, w], 3)], 0) + mass_two[a, b] * two) / of_two[a, b] if of_two[a, b] else two
 
     base = lambda w: np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-    return [(len(t), sum(c[w] > 0 for w in t), n, sum(map(base, t)), sum(np.log10(p(a, w)) for a, w in zip([b" START", *t], t, strict=False))) for t in tk]
+    return [(len(t), sum(c[w] > 0 for w in t), n, sum(map(base, t)), sum(np.log10(p(*x)) for x in three(t))) for t in tk]
 
 
 def _lm_same(rows, texts):
@@ -191,15 +197,33 @@ def _lm_same(rows, texts):
         assert np.allclose([r.base_score, r.score], w[3:], rtol=1e-9)
 
 
-@pytest.mark.parametrize("part", [4 << 20, 2000])
+@pytest.mark.parametrize("part", [4 << 20, 2000, 150])
 def test_lm_query(spark, data, local, monkeypatch, part):
-    monkeypatch.setattr(kneser_ney, "PART", part)  # at 2000 tokens frequent words are split over reducers
+    monkeypatch.setattr(kneser_ney, "PART", part)  # at few tokens frequent words, and the start, are split over reducers
     rows = kneser_ney.query(spark, data).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
     _lm_same(rows, [local[r.doc_id].text for r in rows])
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_lm_sums_to_one(spark, data, monkeypatch):
+    """Over all known words, the end and one unknown word, in contexts of every kind."""
+    monkeypatch.setattr(kneser_ney, "PART", 40)
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 20")
+    m = kneser_ney.train(docs)
+    texts = [re.sub("[A-Z]", lambda x: x[0].lower(), r.text) for r in docs.collect()]
+    vocabulary = sorted({w for t in texts for w in WORD.findall(t)})
+    assert len(vocabulary) + 1 == m.words and len(m.hot) > 2
+    often = [w for w, _ in Counter(w for t in texts for w in WORD.findall(t)).most_common(2)]
+    end = np.array([kneser_ney.END])
+    for start in (f"{often[0]} {often[1]}", f"{vocabulary[5]} {often[0]}", f"never-seen {vocabulary[7]}", "never-seen also-never", " ".join(texts[0].split()[:2])):
+        before = kneser_ney.tokens([start])[0][:-1]
+        # each word behind the start, scored with the start, less the start alone: the texts have no end
+        rows = [np.concatenate([before, kneser_ney.tokens([w])[0][:-1]]) for w in [*vocabulary, "never-seen-word"]] + [np.concatenate([before, end])]
+        log = kneser_ney.score_tokens(m, np.concatenate(rows), np.arange(1, len(rows) + 1) * 3)[3] - kneser_ney.score_tokens(m, before, np.array([2]))[3][0]
+        assert (10.0**log).sum() == pytest.approx(1.0, rel=1e-9)
+
+
 def test_lm_odd(spark, odd, none):
     rows = kneser_ney.digests(odd.withColumn("i", F.monotonically_increasing_id())).collect()
     text = Counter()

@@ -1,16 +1,19 @@
-"""Operator 3: LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""Operator 3: LM scoring with an interpolated modified Kneser-Ney trigram model.
 
 Counting runs in Spark. Pass one counts words (64-bit hashes of lower-cased bytes); its reducers write sorted arrays
-of hashes with their counts, and a word's id is its place in that order. Pass two counts pairs of ids; its reducers write,
-for each range of contexts, the sorted successors of every context with their counts. Pass three adds up in how many
-contexts each word occurs. Map tasks pre-aggregate and send each reducer compressed, sorted blocks. The arrays
+of hashes with their counts, and a word's id is its place in that order. Pass two counts triples (u, v, w) of ids and deals them
+by their middle word v: its reducers then hold, of every v, all contexts (u, v) with their successors w, and all pairs (v, w) with the
+number of different u before them, which are the counts of the next lower order. Both are written as sorted arrays. Pass three adds
+up in how many contexts v each word w occurs. Map tasks pre-aggregate and send each reducer compressed, sorted blocks. The arrays
 stay in the shared folder, and scoring workers memory-map them: nothing of the model's size is broadcast or collected.
 
-A context with more than ``PART`` tokens (a very frequent word) is split over reducers by its successors. Texts are
-read whole; those of the training share add to the counts, all are scored.
+A middle word with more than ``PART`` tokens (a very frequent one; also the start of a text) is split over reducers: by u, or by w where u is
+very frequent too, so that one pair of words may make up any share of the corpus. Its pairs (v, w), and the sums of its contexts with very
+frequent u, are put together from the pieces by a pass of their own. Texts are read whole; those of the training share add to the counts, all
+are scored. Nothing is pruned.
 
-The order is two. A third order's tables (by estimate two to three times the disk of these; not built, so not measured) would come near
-the limit of a scoring run; discounts D1, D2, D3+ come from the counts of counts as Chen and Goodman give them.
+Three orders are interpolated; the two words before a text are a start mark. Discounts D1, D2, D3+ of each order come from its counts of
+counts as Chen and Goodman give them.
 
 Nulls and rows: a null text is an empty one, which is scored as its end alone; a null doc_id counts as the empty string where
 the share is drawn, so such rows train; repeated rows count each time; an empty table gives an empty result; without any
@@ -31,8 +34,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, chunks_by_bytes, local_folder, put_file, staged, with_results
 
-#: Tokens for each reducer; pairs that a map task holds before it sends them; bytes of text at a time.
-PART, HELD, CHUNK = 4 << 20, 4 << 20, 4 << 20
+#: Tokens for each reducer; words that a map task holds before it sends them; bytes of text at a time.
+PART, HELD, CHUNK = 2 << 20, 4 << 20, 4 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -167,7 +170,7 @@ def _small(a: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs besides the arrays, and how the arrays are found. Small: a row for each part, and for each very frequent context."""
+    """What scoring needs besides the arrays, and how the arrays are found. Small: a row for each part, and for each very frequent word."""
 
     folder: str
     parts: int  # of the vocabulary, by leading bits of the hash
@@ -175,24 +178,65 @@ class Model:
     words: int
     total: int
     texts: int
-    shards: int
-    hot: dict[int, list[int]]  # a very frequent context's shards, by ranges of successors
-    hot_counts: dict[int, np.ndarray]
+    shards: int  # of middle words, by id
+    hot: np.ndarray  # ids of very frequent middle words, in order
+    first: np.ndarray  # of each of these its first piece
+    pieces: np.ndarray  # and their number
+    hot_after: np.ndarray  # of each the sum of its successors' numbers of contexts, and how many have one, two, more
+    pair_parts: int  # of sums of contexts of two very frequent words
     kinds: int
-    high: np.ndarray  # discounts of pairs by count: 0, 1, 2, 3 or more
+    high: np.ndarray  # discounts of triples by count: 0, 1, 2, 3 or more
+    middle: np.ndarray  # of pairs by number of words before them
     low: np.ndarray  # and of words by number of contexts
 
     def part_of(self, hashes: np.ndarray) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
 
-    def shard_of(self, context: np.ndarray) -> np.ndarray:
-        return context * self.shards // (self.words + 1)
+    def shard_of(self, word: np.ndarray) -> np.ndarray:
+        return _scaled(word, self.shards, self.words + 1)
 
     def first_of(self, shard: int) -> int:
         return -(-shard * (self.words + 1) // self.shards)
 
-    def piece(self, word: np.ndarray, pieces: int) -> np.ndarray:
-        return word * pieces // (self.words + 1)
+    @property
+    def id_kind(self) -> str:
+        return "<u4" if self.words < 2**32 - 1 else "<u8"
+
+    def place_in_hot(self, word: np.ndarray) -> np.ndarray:
+        """Where each word stands among the very frequent ones; -1 if it isn't one."""
+        if not len(self.hot):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+        return np.where(self.hot[at] == word, at, -1)
+
+    def piece(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The piece of the very frequent words at ``place`` that holds ``word``."""
+        return self.first[place] + np.minimum(np.maximum(word, 0) // self._steps()[place], self.pieces[place] - 1)
+
+    def _steps(self) -> np.ndarray:
+        return -(-(self.words + 1) // self.pieces)
+
+    def shards_of(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Where each triple is."""
+        shard, hot = self.shard_of(v), self.place_in_hot(v)
+        at = np.flatnonzero(hot >= 0)
+        if len(at):
+            by = np.where(self.place_in_hot(u[at]) >= 0, w[at], u[at])
+            shard[at] = self.piece(hot[at], by)
+        return shard
+
+    def span(self, shard: int, v: np.ndarray) -> tuple[int, int]:
+        """The first middle word of a shard, and how many ids it spans."""
+        if shard < self.shards:
+            return self.first_of(shard), self.first_of(shard + 1) - self.first_of(shard)
+        return int(v[0]), 1
+
+
+def _scaled(word: np.ndarray, shards: int, of: int) -> np.ndarray:
+    """word * shards // of, in whole numbers that may be large."""
+    if shards * of < 2**62:
+        return word * shards // of
+    return np.array([int(x) * shards // of for x in word], dtype=np.int64)
 
 
 _MAPPED: dict[str, dict[str, np.ndarray]] = {}
@@ -205,7 +249,8 @@ def _file(model: Model, name: str, kind: str) -> np.ndarray:
     mapped = _MAPPED[model.folder]
     if name not in mapped:
         path = f"{model.folder}/{name}"
-        mapped[name] = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
+        size = os.path.getsize(path) if os.path.exists(path) else 0  # a part without rows has no files
+        mapped[name] = np.memmap(path, dtype=kind, mode="r") if size else np.zeros(0, dtype=kind)
     return mapped[name]
 
 
@@ -228,43 +273,133 @@ def look_up(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return ids, counts, near
 
 
-def successors(model: Model, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of known ids: the pair's count, and the context's numbers of successors seen once, twice, more often."""
-    n = len(context)
-    count, kinds = np.zeros(n, dtype=np.int64), np.zeros((n, 3), dtype=np.int64)
-    if not n:
-        return count, kinds
-    shard = model.shard_of(context)
-    for c, own in model.hot.items():
-        at = np.flatnonzero(context == c)
-        if len(at):
-            shard[at] = np.array(own)[model.piece(word[at], len(own))]
+def _find(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Places of ``want`` in the sorted stretches lo to hi of ``values``; -1 where it isn't."""
+    lo, end = lo.copy(), hi
+    hi = hi.copy()
+    live = np.flatnonzero((lo < hi) & (want >= 0))
+    while len(live):
+        mid = (lo[live] + hi[live]) >> 1
+        less = values[mid] < want[live]
+        lo[live] = np.where(less, mid + 1, lo[live])
+        hi[live] = np.where(less, hi[live], mid)
+        live = live[lo[live] < hi[live]]
+    out = np.full(len(lo), -1, dtype=np.int64)
+    at = np.flatnonzero((lo < end) & (want >= 0))
+    at = at[values[lo[at]] == want[at]]
+    out[at] = lo[at]
+    return out
+
+
+def _put_capped(folder: str, name: str, large: str, values: np.ndarray) -> None:
+    """Columns of small whole numbers as bytes; rows with a number beyond 254 also whole, with their places."""
+    rows = values.reshape(len(values), -1)
+    put_file(f"{folder}/{name}", np.minimum(rows, 255).astype("u1"))
+    big = np.flatnonzero((rows > 254).any(axis=1))
+    put_file(f"{folder}/{large}", np.concatenate([big[:, None], rows[big]], axis=1).astype("<u8"))
+
+
+def _capped(model: Model, name: str, large: str, at: np.ndarray, width: int = 1) -> np.ndarray:
+    got = _file(model, name, "u1").reshape(-1, width)[at].astype(np.int64)
+    big = np.flatnonzero((got == 255).any(axis=1))
+    if len(big):
+        whole = _file(model, large, "<u8").reshape(-1, width + 1)
+        got[big] = whole[np.searchsorted(whole[:, 0], at[big].astype(np.uint64)), 1:]
+    return got
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard, and where it stands, in order."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     names, first = np.unique(shard[order], return_index=True)
-    for s, a, z in zip(names.tolist(), first, [*first[1:], n], strict=True):
-        at = order[a:z]
-        base = model.first_of(s) if s < model.shards else int(context[at[0]])
-        offsets, w = _file(model, f"o{s}", "<u8"), _file(model, f"w{s}", "<u4")
-        local = context[at] - base
-        lo, hi = offsets[local].astype(np.int64), offsets[local + 1].astype(np.int64)
-        end, want = hi.copy(), word[at]
-        live = np.flatnonzero(lo < hi)
-        while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = w[mid] < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        hit = np.flatnonzero(lo < end)
-        hit = hit[w[lo[hit]] == want[hit]]
-        got = _file(model, f"n{s}", "u1")[lo[hit]].astype(np.int64)
-        big = np.flatnonzero(got == 255)
-        if len(big):
-            where = _file(model, f"x{s}", "<u8").reshape(2, -1)
-            got[big] = where[1][np.searchsorted(where[0], lo[hit][big].astype(np.uint64))]
-        count[at[hit]] = got
-        kinds[at] = model.hot_counts[int(context[at[0]])] if s >= model.shards else _file(model, f"t{s}", "<u4").reshape(-1, 3)[local]
-    return count, kinds
+    for s, a, z in zip(names.tolist(), first, [*first[1:], len(order)], strict=True):
+        yield s, order[a:z]
+
+
+def triples_of(m: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For triples with known v (u and w may be -1): the count, and the context's total, successors seen once, twice, and in all."""
+    n = len(v)
+    count, facts = np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.int64)
+    for s, at in _by_shard(m.shards_of(u, v, w)):
+        offsets, us = _file(m, f"a{s}", "<u8"), _file(m, f"u{s}", m.id_kind)
+        if not len(us):
+            continue
+        local = v[at] - m.span(s, v[at])[0]
+        pair = _find(us, offsets[local].astype(np.int64), offsets[local + 1].astype(np.int64), u[at])
+        hit = np.flatnonzero(pair >= 0)
+        at, pair = at[hit], pair[hit]
+        starts = _file(m, f"b{s}", "<u8")
+        lo, hi = starts[pair].astype(np.int64), starts[pair + 1].astype(np.int64)
+        facts[at, :3] = _capped(m, f"f{s}", f"g{s}", pair, 3)
+        facts[at, 3] = hi - lo
+        there = _find(_file(m, f"w{s}", m.id_kind), lo, hi, w[at])
+        hit = np.flatnonzero(there >= 0)
+        count[at[hit]] = _capped(m, f"n{s}", f"x{s}", there[hit])[:, 0]
+    # the sums of a context of two very frequent words are over all pieces
+    a, b = m.place_in_hot(u), m.place_in_hot(v)
+    both = np.flatnonzero((a >= 0) & (b >= 0))
+    key = b[both] * len(m.hot) + a[both]
+    for part, at in _by_shard(key % m.pair_parts):
+        known = _file(m, f"p{part}", "<u8").reshape(-1, 5)
+        place = np.minimum(np.searchsorted(known[:, 0], key[at].astype(np.uint64)), max(len(known) - 1, 0))
+        hit = np.flatnonzero(known[place, 0] == key[at]) if len(known) else []
+        facts[both[at[hit]]] = known[place[hit], 1:]
+    return count, facts
+
+
+def pairs_of(m: Model, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs with known v: words before the pair, and v's sum of these, and its successors with one, two, more."""
+    n = len(v)
+    before, after = np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.int64)
+    shard, hot = m.shard_of(v), m.place_in_hot(v)
+    often = np.flatnonzero(hot >= 0)
+    if len(often):
+        shard[often] = m.piece(hot[often], w[often])
+        after[often] = m.hot_after[hot[often]]
+    for s, at in _by_shard(shard):
+        offsets = _file(m, f"c{s}.o", "<u8")
+        if not len(offsets):
+            continue
+        local = v[at] - m.span(s, v[at])[0]
+        if s < m.shards:
+            after[at] = _file(m, f"t{s}", "<u4").reshape(-1, 4)[local]
+        there = _find(_file(m, f"c{s}.w", m.id_kind), offsets[local].astype(np.int64), offsets[local + 1].astype(np.int64), w[at])
+        hit = np.flatnonzero(there >= 0)
+        before[at[hit]] = _capped(m, f"c{s}.n", f"c{s}.x", there[hit])[:, 0]
+    return before, after
+
+
+def _distinct(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of triples of numbers up to ``n``: where each kind stands first in the order of v, u, w, and to which each row belongs."""
+    bits = max(1, n.bit_length())
+    if 3 * bits < 64:
+        key = v << (2 * bits) | u << bits | w
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        return first, inverse
+    order = np.lexsort((w, u, v))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (v[order][1:] != v[order][:-1]) | (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
+    inverse = np.empty(len(order), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
+def _triples(m: Model, words: np.ndarray, ends: np.ndarray):
+    """The kinds of triples of a chunk in order: ids (u, v, w; -1: unknown), which each token belongs to, and the chunk's distinct words."""
+    distinct, w = np.unique(words, return_inverse=True)
+    found = look_up(m, distinct)
+    ids = np.append(found[0], m.words)  # the start comes last
+    first = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[first] = len(distinct)
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[first] = len(distinct)
+    one, inverse = _distinct(v, u, w, len(distinct))
+    return ids[u[one]], ids[v[one]], ids[w[one]], inverse, w, one, found
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -320,138 +455,182 @@ def train(rows: DataFrame, text: str = "text") -> Model:
     sizes = [found[p].words if p in found else 0 for p in range(m.parts)]
     m.bases = np.cumsum([0, *sizes])[:-1]
     m.words, m.total = sum(sizes), sum(r.total for r in found.values())
-    if m.words >= 2**32 - 1:
-        raise ValueError("more than 2^32 distinct words; successors are kept as 32-bit ids")
     m.shards = max(1, -(-m.total // PART))
     often = {int(m.bases[p] + a): n for p, r in found.items() for a, n in zip(r.at, r.often, strict=True)}
     end = look_up(m, np.array([END]))[0][0] if texts else -1
     often.pop(int(end), None)  # nothing follows an end
     if texts > PART:
         often[m.words] = texts
-    m.hot, at = {}, m.shards
-    for c, n in sorted(often.items()):
-        pieces = -(-n // PART)
-        m.hot[c] = list(range(at, at + pieces))
-        at += pieces
-
-    def pairs(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        distinct, where = np.unique(words, return_inverse=True)
-        ids = look_up(m, distinct)[0][where]
-        return _contexts(m, ids, ends).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
-
-    def count_pairs(batches):
-        def send(keys, counts):
-            c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            shard = m.shard_of(c)
-            for h, own in m.hot.items():
-                a, z = np.searchsorted(c, [h, h + 1])
-                shard[a:z] = np.array(own)[m.piece(w[a:z], len(own))]
-            order = np.argsort(shard, kind="stable")
-            names, first = np.unique(shard[order], return_index=True)
-            for s, a, z in zip(names.tolist(), first, [*first[1:], len(order)], strict=True):
-                i = order[a:z]
-                yield s, _pack(_delta(c[i].astype(np.uint64)).astype("<u4"), w[i].astype("<u4"), _small(counts[i]))
+    m.hot = np.array(sorted(often), dtype=np.int64)
+    m.pieces = np.array([-(-often[h] // PART) for h in m.hot.tolist()], dtype=np.int64)
+    m.first = m.shards + np.cumsum(m.pieces) - m.pieces
+    m.pair_parts = max(1, -(-(len(m.hot) ** 2) // PART))
 
-        tally = _Tally(send)
+    def count_triples(batches):
         for words, ends in _texts(batches):
-            yield from tally.add(pairs(words, ends))
-        yield from tally.flush()
-
-    def join_pairs(table: pa.Table) -> pa.Table:
+            if not len(words):
+                continue
+            u, v, w, inverse, *_ = _triples(m, words, ends)
+            times = np.bincount(inverse)
+            rows = [(s, _pack(_small(_delta(v[at].astype(np.uint64))), _small(u[at]), _small(w[at]), _small(times[at]))) for s, at in _by_shard(m.shards_of(u, v, w))]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["part", "block"])
+
+    def join_triples(table: pa.Table) -> pa.Table:
         s = table["part"][0].as_py()
-        keys, counts = [], []
-        for b in table["block"]:
-            c, w, n = _unpack(b.as_py())
-            keys.append(np.cumsum(c, dtype=np.uint64) << np.uint64(32) | w)
-            counts.append(n.astype(np.uint64))
-        k, n = _summed(np.concatenate(keys), np.concatenate(counts))
-        del keys, counts
-        c = (k >> np.uint64(32)).astype(np.int64)
-        base, width = (m.first_of(s), m.first_of(s + 1) - m.first_of(s)) if s < m.shards else (int(c[0]), 1)
-        kinds = np.stack([np.bincount(c[x] - base, minlength=width) for x in (n == 1, n == 2, n > 2)], axis=1)
-        w = (k & np.uint64(0xFFFFFFFF)).astype("<u4")
-        put_file(f"{m.folder}/o{s}", np.concatenate([[0], np.cumsum(np.bincount(c - base, minlength=width))]).astype("<u8"))
-        put_file(f"{m.folder}/w{s}", w)
-        put_file(f"{m.folder}/n{s}", np.minimum(n, 255).astype("u1"))
-        big = np.flatnonzero(n >= 255)
-        put_file(f"{m.folder}/x{s}", np.stack([big.astype("<u8"), n[big].astype("<u8")]))
-        put_file(f"{m.folder}/t{s}", kinds.astype("<u4"))
-        follow, times = np.unique(w, return_counts=True)
-        edge = np.searchsorted(follow, [*m.bases, m.words])
-        out = [(p, _pack(_delta(follow[a:z]), _small(times[a:z]))) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
-        of_counts = [int((n == x).sum()) for x in (1, 2, 3, 4)]
-        hot = [s, *kinds.sum(0).tolist()] if s >= m.shards else None
-        return pa.table({
-            "part": pa.array([p for p, _ in out] + [-1], pa.int64()), "block": pa.array([b for _, b in out] + [None], pa.binary()),
-            "of": pa.array([None] * len(out) + [of_counts], pa.list_(pa.int64())), "kinds": pa.array([None] * len(out) + [len(k)], pa.int64()),
-            "hot": pa.array([None] * len(out) + [hot], pa.list_(pa.int64())),
-        })
+        got = [_unpack(b.as_py()) for b in table["block"]]
+        v = np.concatenate([np.cumsum(g[0].astype(np.uint64)) for g in got]).astype(np.int64)
+        u, w, n = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in (1, 2, 3))
+        del got
+        order = np.lexsort((w, u, v))
+        v, u, w, n = v[order], u[order], w[order], n[order]
+        del order
+        other = np.ones(len(v), dtype=bool)  # begins another triple, another pair
+        other[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+        new = other.copy()
+        new[1:] |= w[1:] != w[:-1]
+        first = np.flatnonzero(new)
+        n, v, u, w, other = np.add.reduceat(n, first), v[first], u[first], w[first], other[first]
+        pair = np.flatnonzero(other)
+        base, width = m.span(s, v)
+        offsets = lambda x: np.concatenate([[0], np.cumsum(np.bincount(x - base, minlength=width))]).astype("<u8")
+        facts = np.stack([np.add.reduceat(x, pair) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64))], axis=1)
+        put_file(f"{m.folder}/a{s}", offsets(v[pair]))
+        put_file(f"{m.folder}/u{s}", u[pair].astype(m.id_kind))
+        put_file(f"{m.folder}/b{s}", np.append(pair, len(v)).astype("<u8"))
+        put_file(f"{m.folder}/w{s}", w.astype(m.id_kind))
+        _put_capped(m.folder, f"f{s}", f"g{s}", facts)
+        _put_capped(m.folder, f"n{s}", f"x{s}", n)
+        out = _Rows()
+        out.note("high", [int((n == x).sum()) for x in (1, 2, 3, 4)])
+        # different words before each pair (v, w)
+        order = np.lexsort((w, v))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
+        at = np.flatnonzero(first)
+        before = np.diff(np.append(at, len(order)))
+        cv, cw = v[order[at]], w[order[at]]
+        if s < m.shards:
+            _after(m, s, cv, cw, before, base, width, out)
+            return out.table()
+        place = int(m.place_in_hot(cv[:1])[0])
+        for piece, at in _by_shard(m.piece(np.full(len(cw), place), cw)):
+            out.block("pairs", piece, _pack(_small(cv[at[:1]]), _small(_delta(cw[at].astype(np.uint64))), _small(before[at])))
+        a = m.place_in_hot(u[pair])
+        both = np.flatnonzero(a >= 0)
+        key = place * len(m.hot) + a[both]
+        whole = np.concatenate([key[:, None], facts[both], np.diff(np.append(pair, len(v)))[both, None]], axis=1)
+        for part, at in _by_shard(key % m.pair_parts):
+            out.block("sums", part, _pack(*(np.ascontiguousarray(c) for c in whole[at].astype("<u8").T)))
+        return out.table()
 
-    schema = "part long, block binary, of array<bigint>, kinds long, hot array<bigint>"
-    after = staged(docs.mapInArrow(count_pairs, _ROWS).groupBy("part").applyInArrow(join_pairs, schema), "follow")
-    notes = after.filter("part < 0").select("of", "kinds", "hot").collect()  # a row for each shard
-    m.kinds = sum(r.kinds for r in notes)
-    m.high = discounts([sum(r["of"][i] for r in notes) for i in range(4)])
-    m.hot_counts = {c: sum((np.array(r.hot[1:]) for r in notes if r.hot and r.hot[0] in own), np.zeros(3, dtype=np.int64)) for c, own in m.hot.items()}
-    seen = {r.hot[0] for r in notes if r.hot}
-    for s in [x for own in m.hot.values() for x in own if x not in seen]:
-        for name, data in (("o", np.zeros(2, "<u8")), ("w", b""), ("n", b""), ("x", b""), ("t", b"")):
-            put_file(f"{m.folder}/{name}{s}", data)
-    for s in range(m.shards):
-        if not os.path.exists(f"{m.folder}/o{s}"):
-            width = m.first_of(s + 1) - m.first_of(s)
-            for name, data in (("o", np.zeros(width + 1, "<u8")), ("w", b""), ("n", b""), ("x", b""), ("t", np.zeros(3 * width, "<u4"))):
-                put_file(f"{m.folder}/{name}{s}", data)
+    def join_pairs(table: pa.Table) -> pa.Table:
+        """A piece of a very frequent word's successors, from all pieces of its contexts."""
+        s, out = table["part"][0].as_py(), _Rows()
+        got = [_unpack(b.as_py()) for b in table["block"]]
+        w, before = _summed(np.concatenate([np.cumsum(g[1].astype(np.uint64)) for g in got]), np.concatenate([g[2].astype(np.uint64) for g in got]))
+        v, before = int(got[0][0][0]), before.astype(np.int64)
+        _after(m, s, np.full(len(w), v), w.astype(np.int64), before, v, 1, out)
+        out.note("after", [int(m.place_in_hot(np.array([v]))[0]), int(before.sum()), *(int(x.sum()) for x in (before == 1, before == 2, before > 2))])
+        return out.table()
+
+    def join_sums(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        rows = np.concatenate([np.stack(_unpack(b.as_py()), axis=1) for b in table["block"]]).astype("<u8")
+        key, where = np.unique(rows[:, 0], return_inverse=True)
+        sums = np.zeros((len(key), 4), dtype=np.uint64)
+        np.add.at(sums, where, rows[:, 1:])
+        put_file(f"{m.folder}/p{part}", np.concatenate([key[:, None], sums], axis=1).astype("<u8"))
+        return pa.table({"part": pa.array([part], pa.int64())})
+
+    follow = staged(docs.mapInArrow(count_triples, _ROWS).groupBy("part").applyInArrow(join_triples, _Rows.schema), "follow")
+    whole, notes = follow, follow.filter("what = 'note'").select("name", "of").collect()  # some rows for each shard
+    if len(m.hot):
+        pairs = staged(follow.filter("what = 'pairs'").select("part", "block").groupBy("part").applyInArrow(join_pairs, _Rows.schema), "pairs")
+        notes += pairs.filter("what = 'note'").select("name", "of").collect()
+        whole = whole.unionByName(pairs)
+        follow.filter("what = 'sums'").select("part", "block").groupBy("part").applyInArrow(join_sums, "part long").collect()
+    told = lambda name: [r["of"] for r in notes if r.name == name]
+    m.high, m.middle = (discounts([sum(x[i] for x in told(name)) for i in range(4)]) for name in ("high", "middle"))
+    m.kinds = sum(x[4] for x in told("middle"))
+    m.hot_after = np.zeros((len(m.hot), 4), dtype=np.int64)
+    for place, *sums in told("after"):
+        m.hot_after[place] += sums
 
     def join_contexts(table: pa.Table) -> pa.Table:
         p = table["part"][0].as_py()
         near = np.zeros(sizes[p], dtype=np.uint64)
         for b in table["block"]:
-            follow, times = _unpack(b.as_py())
-            near[np.cumsum(follow, dtype=np.int64) - m.bases[p]] += times
+            words, times = _unpack(b.as_py())
+            near[np.cumsum(words.astype(np.uint64)).astype(np.int64) - m.bases[p]] += times.astype(np.uint64)
         put_file(f"{m.folder}/k{p}", near)
         return pa.table({"of": pa.array([[int((near == x).sum()) for x in (1, 2, 3, 4)] + [int((near > 2).sum())]], pa.list_(pa.int64()))})
 
-    of = after.filter("part >= 0").select("part", "block").groupBy("part").applyInArrow(join_contexts, "of array<bigint>").collect()
+    of = whole.filter("what = 'words'").select("part", "block").groupBy("part").applyInArrow(join_contexts, "of array<bigint>").collect()
     n = [sum(r["of"][i] for r in of) for i in range(5)]
     m.low = discounts(n[:4])
     m.spare = (m.low[1] * n[0] + m.low[2] * n[1] + m.low[3] * n[4]) / m.kinds if m.kinds else 1.0
     return m
 
 
-def _contexts(m: Model, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The token before each; a text's first has the start, whose id is the number of words."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], ends[:-1]])[: len(ends)]] = m.words
-    return before
+class _Rows:
+    """What reducers tell: notes of numbers, and blocks for later passes."""
+
+    schema = "what string, name string, part long, block binary, of array<bigint>"
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def note(self, name: str, of: list[int]) -> None:
+        self.rows.append(("note", name, None, None, of))
+
+    def block(self, what: str, part: int, block: bytes) -> None:
+        self.rows.append((what, None, part, block, None))
+
+    def table(self) -> pa.Table:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table({n: pa.array([r[i] for r in self.rows], k) for i, (n, k) in enumerate(zip(("what", "name", "part", "block", "of"), kinds, strict=True))})
+
+
+def _after(m: Model, s: int, v: np.ndarray, w: np.ndarray, before: np.ndarray, base: int, width: int, out: _Rows) -> None:
+    """Writes the pairs (v, w) of a shard with the number of words before each; tells how often numbers occur, and each w's number of v."""
+    put_file(f"{m.folder}/c{s}.o", np.concatenate([[0], np.cumsum(np.bincount(v - base, minlength=width))]).astype("<u8"))
+    put_file(f"{m.folder}/c{s}.w", w.astype(m.id_kind))
+    _put_capped(m.folder, f"c{s}.n", f"c{s}.x", before)
+    if s < m.shards:
+        put_file(f"{m.folder}/t{s}", np.stack([np.bincount(v - base, weights=x, minlength=width) for x in (before, before == 1, before == 2, before > 2)], axis=1).astype("<u4"))
+    out.note("middle", [*(int((before == x).sum()) for x in (1, 2, 3, 4)), len(before)])
+    follow, times = np.unique(w, return_counts=True)
+    edge = np.searchsorted(follow, [*m.bases, m.words])
+    for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)):
+        if z > a:
+            out.block("words", p, _pack(_small(_delta(follow[a:z].astype(np.uint64))), _small(times[a:z])))
 
 
 def score_texts(m: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """Of each text: tokens, known tokens, unigram base score, model score."""
-    words, ends = tokens(texts)
-    distinct, where = np.unique(words, return_inverse=True)
-    id_of, count_of, near_of = look_up(m, distinct)
+    return score_tokens(m, *tokens(texts))
+
+
+def score_tokens(m: Model, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same of texts as tokens."""
+    u, v, w, inverse, where, one, (_, count_of, near_of) = _triples(m, words, ends)
     alone_of = np.maximum(near_of - m.low[np.minimum(near_of, 3)], 0) / max(m.kinds, 1) + m.spare / (m.words + 1)
     base_of = np.log10((count_of + 0.1) / (m.total + 0.1 * (m.words + 1)))
-    ids, alone = id_of[where], alone_of[where]
-    before = _contexts(m, ids, ends)
-    seen_of = np.append(count_of, 0)
-    seen = np.zeros(len(ids), dtype=np.int64)  # how often the context occurs as one
-    seen[1:] = seen_of[where[:-1]]
-    seen[before == m.words] = m.texts
-    p = alone.copy()
-    old = np.flatnonzero((before >= 0) & (seen > 0))
-    count, kinds = np.zeros(len(old), dtype=np.int64), np.zeros((len(old), 3), dtype=np.int64)
-    known = ids[old] >= 0
-    # an unknown word has no pair, but its context's spare mass counts: any known id finds that
-    count, kinds = successors(m, before[old], np.where(known, ids[old], 0))
-    count[~known] = 0
-    own = np.maximum(count - m.high[np.minimum(count, 3)], 0)
-    p[old] = (own + (kinds @ m.high[1:]) * alone[old]) / seen[old]
+    p = alone_of[where[one]]
+    old = np.flatnonzero(v >= 0)
+    if m.kinds and len(old):
+        u, v, w = u[old], v[old], w[old]
+        before, after = pairs_of(m, v, w)
+        lower = p[old]
+        spare, own = after[:, 1:] @ m.middle[1:], np.maximum(before - m.middle[np.minimum(before, 3)], 0)
+        lower = np.where(after[:, 0] > 0, (own + spare * lower) / np.maximum(after[:, 0], 1), lower)
+        count, facts = triples_of(m, u, v, w)
+        more = facts[:, 3] - facts[:, 1] - facts[:, 2]
+        spare, own = np.stack([facts[:, 1], facts[:, 2], more], axis=1) @ m.high[1:], np.maximum(count - m.high[np.minimum(count, 3)], 0)
+        p[old] = np.where(facts[:, 0] > 0, (own + spare * lower) / np.maximum(facts[:, 0], 1), lower)
     first = np.concatenate([[0], ends[:-1]])
-    add = lambda v: np.add.reduceat(v, first) if len(ends) else np.zeros(0)  # noqa: E731  no text is without its end
-    return ends - first, add((count_of > 0).astype(np.int64)[where]), add(base_of[where]), add(np.log10(p))
+    add = lambda x: np.add.reduceat(x, first) if len(ends) else np.zeros(0)  # noqa: E731  no text is without its end
+    return ends - first, add((count_of > 0).astype(np.int64)[where]), add(base_of[where]), add(np.log10(p)[inverse])
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
