@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks_by_bytes, cols, with_results
+from .common import bounded_batches, chunks_by_bytes, cols, tidied, with_results
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers, in each of two generations.
@@ -239,7 +239,7 @@ def _mapper(spark: SparkSession, path: str, pattern: str, work: Callable) -> Cal
                 new = work(codec, part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new.values()], names=[*part.schema.names[:-1], *new])
 
-    return run
+    return tidied(run)
 
 
 def _packed(codec: Codec, texts: pa.Array, ids: str, count: str) -> tuple[dict[str, pa.Array], list[np.ndarray]]:

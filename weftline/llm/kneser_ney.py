@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks_by_bytes, local_folder, put_file, staged, with_results
+from .common import bounded_batches, chunks_by_bytes, local_folder, put_file, staged, tidied, with_results
 
 #: Tokens for each reducer; words that a map task holds before it sends them; bytes of text at a time.
 PART, HELD, CHUNK = 2 << 20, 4 << 20, 4 << 20
@@ -650,7 +650,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 new = [n, known, np.full(len(n), shared.value.total), plain, best, 10.0 ** np.minimum(-best / n, 300)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, new)], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in base.columns], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in base.columns], F.col(f"`{text}`").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks_by_bytes, cols, with_results
+from .common import bounded_batches, chunks_by_bytes, cols, tidied, with_results
 
 #: Buckets of hashed n-grams, lengths in bytes of the n-grams, documents that classifiers are fitted on at most.
 WIDTH, GRAMS, SAMPLE = 8192, (1, 2, 3), 1600
@@ -193,7 +193,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names, score, unclear = shared.value.predict(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(unclear)], names=schema.names)
 
-    return df.select(*cols(base), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*cols(base), F.col(f"`{text}`").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cols, with_results
+from .common import bounded_batches, cols, tidied, with_results
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "url", "secret")
@@ -220,7 +220,7 @@ def detect(df: DataFrame, text: str = "text", with_text: bool = True) -> DataFra
             kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in results]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(new, kinds, strict=True))], names=schema.names)
 
-    return df.select(*cols(base), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*cols(base), F.col(f"`{text}`").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cols, components, free_name, merge_labels, run_starts, sieved, split_hot, staged, whole_runs, with_results
+from .common import bounded_batches, cols, components, free_name, merge_labels, run_starts, sieved, split_hot, staged, tidied, whole_runs, with_results
 
 SEED = 42
 BITS = 3
@@ -87,7 +87,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", width: int = 3, out: st
             signed = np.array(prints, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(signed)], names=schema.names)
 
-    return df.select(*cols(rest), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*cols(rest), F.col(f"`{text}`").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def lists(prints: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _with_bands(slim: DataFrame, width: int) -> DataFrame:
             signed = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed, lists_], names=schema.names)
 
-    return sized.mapInArrow(run, schema)
+    return sized.mapInArrow(tidied(run), schema)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _compared(slim: DataFrame, dealt: DataFrame, width: int, similarity: float)
                 if z - a > 1:
                     yield _alike(table.slice(a, z - a), width, similarity)
 
-    return met.mapInArrow(run, "src long, dst long")
+    return met.mapInArrow(tidied(run), "src long, dst long")
 
 
 def _in_blocks(members: DataFrame, key: list[str], most: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks_by_bytes, free_name, sieved, staged, with_results
+from .common import bounded_batches, chunks_by_bytes, free_name, sieved, staged, tidied, with_results
 
 SENTENCES, WORDS, LONG, WINDOW = 2, 16, 11, 6
 #: Occurrences from which a span is joined apart, and such spans whose list is broadcast.
@@ -180,7 +180,7 @@ def _all_spans(df: DataFrame, text: str, key: str, order: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id").take(i), part.column("h").take(i), span, pa.array(first), pa.array(last)], names=schema.names)
 
     rows = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{order}`").alias("id"), F.col(key).alias("h"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,7 +235,7 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
         F.col("gone.first").alias("first_"), F.col("gone.last").alias("last_"),
         F.col("sentences_"),
     )
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidied(run), schema)
 
 
 def _without(text: str | None, gone: list[tuple[int, int]]) -> tuple[str | None, int, int, str]:
