@@ -120,6 +120,32 @@ def test_sharding_query(spark, data, local):
     assert max(by.values()) - min(by.values()) <= max(sizes.values()) and len(by) == 16
 
 
+def test_sharding_is_the_best_of_all_cuts(spark, data, local):
+    """The whole assignment: contiguous in the order of hashes, and its largest shard as small as any contiguous one's."""
+    rows = sharding.query(spark, data).collect()
+    hashes = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.xxhash64("text")).collect())
+    size, shard = defaultdict(int), {}
+    for r in rows:
+        size[hashes[r.doc_id]] += len((local[r.doc_id].text or "").encode()) + 1
+        assert shard.setdefault(hashes[r.doc_id], r.shard) == r.shard
+    total, left, own = sum(size.values()), sum(size.values()), []
+    for h in sorted(size, key=lambda h: (-size[h], h)):  # a group beyond an even share of what is left is alone
+        if size[h] > total >> sharding.FIRST_BITS and size[h] * (16 - len(own)) >= left and len(own) < 15:
+            own.append(h)
+            left -= size[h]
+    order = [h for h in sorted(size) if h not in own]
+    assert [shard[h] for h in own] == list(range(len(own))) and [shard[h] for h in order] == sorted(shard[h] for h in order)
+    sums, k = np.concatenate([[0], np.cumsum([size[h] for h in order])]), 16 - len(own)
+    best = np.full(len(sums), np.inf)
+    best[0] = 0
+    for _ in range(k):  # the smallest largest shard of the first j groups, shard by shard
+        best = np.array([min(max(best[i], sums[j] - sums[i]) for i in range(j + 1)) for j in range(len(sums))])
+    by = Counter()
+    for h in order:
+        by[shard[h]] += size[h]
+    assert max(by.values()) == best[-1]
+
+
 def test_minimax_is_smallest():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -443,9 +469,11 @@ def test_spans_against_plain_sentences(spark, monkeypatch, hot):
         cut[i, t] = [(m.start(), m.end(), tuple(m[0].lower().split())) for m in re.finditer(r"\S[^.!]*[.!]", t or "")]
     places = defaultdict(list)
     for (i, t), found in cut.items():
-        for a in range(len(found)):
-            z = next((z for z in range(a + 2, len(found) + 1) if sum(len(w) for _, _, w in found[a:z]) >= 16), None)
-            if z:
+        enough = lambda a, z: z - a >= 2 and sum(len(w) for _, _, w in found[a:z]) >= 16  # noqa: B023, E731
+        runs = {(a, next((z for z in range(a, len(found) + 1) if enough(a, z)), None)) for a in range(len(found))}
+        runs |= {(next((a for a in range(z, -1, -1) if enough(a, z)), None), z) for z in range(len(found) + 1)}
+        for a, z in runs:
+            if a is not None and z is not None:
                 places[tuple(w for _, _, w in found[a:z])].append((i, a, z, t))
     gone, kept_in = defaultdict(set), defaultdict(set)
     for where in places.values():

@@ -82,6 +82,28 @@ def test_odd_rows_pass(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_odd_rows_by_stage(spark):
+    """Null and empty texts, repeated rows, null ids, unknown columns: what each stage's docstring says."""
+    row = lambda i, t, lang="en", source="a", n=1: (i, t, lang, source, n)
+    words = "Some words that stand here for a text of their own, and not for any other"
+    rows = [row(1, None), row(2, ""), row(3, "  !! 12 "), row(4, words), row(4, words), row(None, words), row(5, words + " at all", None, None, None), row(6, "Write to a.b@c.example now " + "or later " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("more", F.lit("x"))
+    key = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect()))
+    kept = cp.language(spark, docs, "")
+    assert kept.columns == cp.COLUMNS and key(kept) == sorted((r[0] is None, r[0] or 0, r[1]) for r in rows[3:])
+    near = cp.near_dedup(spark, docs, "")
+    # a null text and one without words are alike, as are the five-word shingles of 4, null and 5 by 0.8 and more; marks and numbers are words
+    assert near.columns == cp.COLUMNS and [(i, t) for _, i, t in key(near)] == [(1, ""), (3, "  !! 12 "), (4, words), (6, rows[7][1])]
+    private = {(r.doc_id, r.text): r.n_chars for r in cp.private(spark, docs, "").collect()}
+    assert len(private) == 7 and private[1, None] == 1 and private[2, ""] == 1 and private[None, words] == 1
+    clean = rows[7][1].replace("a.b@c.example", "<EMAIL>")
+    assert private[6, clean] == len(clean)
+    mixed = cp.mix(spark, docs, "").collect()
+    assert {r.source for r in mixed} == {"a", None} and sum(r.doc_id == 1 for r in mixed) == sum(r.doc_id == 2 for r in mixed) == 1
+    done = cp.encode(spark, docs, "").collect()
+    assert len(done) == len(rows) and all(r.round_trip for r in done) and sorted(r.n_tokens for r in done)[:2] == [0, 0]
+
+
 @pytest.mark.parametrize("most", [1024, 4])
 def test_near_copies_down_to_similarity(spark, most):
     rng = np.random.default_rng(9)

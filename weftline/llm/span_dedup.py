@@ -1,18 +1,18 @@
 """Operator 5: substring dedup by sliding sentence spans.
 
-Texts are split into sentences (at ``.``, ``!``, ``?`` before white space, at the full stops of other scripts, and at line ends; a
-sentence of more than ``LONG`` words also at its commas, semicolons and colons, and what is still longer at words that have the
-smallest hash of some ``WINDOW`` consecutive words, which depends on near words only). A character of a script without spaces
-counts as a word. So every passage of 50 words holds a span, whatever surrounds it: at most ``LONG`` words at either end
-belong to pieces that depend on the surroundings, and a span behind them has less than ``WORDS`` + ``LONG`` words. From every sentence starts one span: the shortest run of
-at least ``SENTENCES`` consecutive sentences with at least ``WORDS`` words in all. Spans are hashed (lower case, single
-spaces) and joined globally. Of each repeated span the first occurrence stays, by doc_id, then text hash, then
+Texts are split into words, and words into sentences (behind ``.``, ``!``, ``?`` before white space, behind the full stops of other scripts,
+and at line ends; a sentence of more than ``LONG`` words also behind its commas, semicolons and colons, and what is still longer before words
+that have the smallest hash of some ``WINDOW`` consecutive words, which depends on near words only). A character of a script without spaces
+is a word. From every sentence starts one span, and with every sentence ends one: the shortest run of at least ``SENTENCES`` consecutive
+sentences with at least ``WORDS`` words in all. So every passage of 50 words holds a span, whatever surrounds it, and every sentence in it is
+covered but for those at either end, of at most ``LONG`` words each, that depend on the surroundings. Spans are hashed (by their lower-case words)
+and joined globally. Of each repeated span the first occurrence stays, by doc_id, then text hash, then
 place; every sentence covered by another occurrence is removed.
 
-The join carries hashes and places only. Counting pre-aggregates, so a passage that a third of all documents
-share costs one row a task there. Only occurrences that a sieve of the repeated spans lets pass are joined with these; those of
-spans with more than ``HOT`` occurrences are joined where they are, without a shuffle, as long as the list of such spans is short (counted
-first), else by an equi-join that adaptive execution can split. Texts in which nothing is removed are cut into sentences once.
+Words, sentences and spans of many texts are found at once, by arrays of code points. The join carries hashes and places only. Spans are
+counted first, by their hashes alone, and only what a sieve of the repeated ones lets pass meets again. Spans of more than ``HOT``
+occurrences are dealt with where they are, without a shuffle, as long as the list of such spans is short (counted first), else by an
+equi-join that adaptive execution can split. Texts are shuffled only where something may be removed.
 
 Nulls and rows: a null text has no sentences and stays null; a null doc_id comes last in the order; rows of equal id
 and text are one document and get equal results; an empty table gives an empty result; an input column that has a result's
@@ -21,142 +21,164 @@ name gives way.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks_by_bytes, free_name, sieved, staged, tidied, with_results
+from .common import bounded_batches, chunks_by_bytes, drop_path, free_name, new_path, sieved, staged, tidied, with_results
 
 SENTENCES, WORDS, LONG, WINDOW = 2, 16, 11, 6
-#: Occurrences from which a span is joined apart, and such spans whose list is broadcast.
-HOT, LISTED = 20_000, 100_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ends = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\u0964\u0965])(?![\u3002\uff01\uff1f\u0964\u0965])\s*|\s*\n\s*")
-_pauses = re.compile(r"(?<=[,;:])\s+|(?<=[\u3001\uff0c\uff1b\uff1a])\s*")
-#: The same for texts without the marks of other scripts; as they begin with white space, the search is faster.
-_plain_ends, _plain_pauses = re.compile(r"\s(?:(?<=[.!?].)\s*|(?<=\n)\s*|\s*\n\s*)", re.S), re.compile(r"\s(?<=[,;:].)\s*", re.S)
-_wide = re.compile(r"[\u0964\u0965\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
-#: Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han.
-_unspaced = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_has_unspaced = re.compile(f"[{_unspaced}]")
-_spaced_word, _word = re.compile(r"\S+"), re.compile(rf"[{_unspaced}]|[^\s{_unspaced}]+")
+#: Occurrences from which a span is dealt with apart, and such spans whose list is broadcast; bytes of text at a time.
+HOT, LISTED, CHUNK = 20_000, 100_000, 1 << 20
 
+OTHER, SPACE, LINE_END, STOP, PAUSE, WIDE_STOP, WIDE_PAUSE, UNSPACED = range(8)
+#: Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han; and Han beyond the first plane.
+SCRIPTS = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)]
+FAR_SCRIPT = (0x20000, 0x3FFFF)
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence, in order; what separates them belongs to none."""
-    out = []
-    spaced = text.isascii() or _has_unspaced.search(text) is None
-    ends, pauses = (_plain_ends, _plain_pauses) if text.isascii() or _wide.search(text) is None else (_ends, _pauses)
-    count = lambda a, z: len(text[a:z].split() if spaced else _word.findall(text, a, z))
-    for a, z in _pieces(ends, text, 0, len(text)):
-        words = count(a, z)
-        if words <= LONG:
-            out.append((a, z, words))
-            continue
-        for b, y in _pieces(pauses, text, a, z):
-            if (b, y) != (a, z):
-                words = count(b, y)
-            if words > LONG:
-                out += _cut(text, b, y, _spaced_word if spaced else _word)
-            else:
-                out.append((b, y, words))
-    return [s for s in out if s[2]]
 
+def _table() -> np.ndarray:
+    kinds = np.zeros(1 << 16, dtype=np.uint8)
+    for a, z in SCRIPTS:
+        kinds[a : z + 1] = UNSPACED
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
+    for marks, kind in (("\n", LINE_END), (".!?", STOP), (",;:", PAUSE), ("\u3002\uff01\uff1f\u0964\u0965", WIDE_STOP), ("\u3001\uff0c\uff1b\uff1a", WIDE_PAUSE)):
+        kinds[[ord(c) for c in marks]] = kind
+    return kinds
 
-_WORD_HASHES: dict[str, int] = {}
 
+_KINDS = _table()
+_ODD = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
 
-def _hashes(words: list[str]) -> list[int]:
-    """crc32 of each; what was computed is kept, up to a bound."""
-    known = _WORD_HASHES
-    if len(known) > 200_000:
-        known.clear()
-    out = [known.get(w) for w in words]
-    for i, h in enumerate(out):
-        if h is None:
-            out[i] = known[words[i]] = zlib.crc32(words[i].encode("utf-8", "replace"))
-    return out
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number, and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_ODD, pow(_ODD, -1, 2**64))):
+            p = np.full(max(n, 1 << 14), base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
-def _cut(text: str, start: int, end: int, word: re.Pattern) -> list[tuple[int, int, int]]:
-    """Pieces that begin at words with the smallest hash of some ``WINDOW`` consecutive words, the last of equal ones."""
-    found = [m.span() for m in word.finditer(text, start, end)]
-    words = word.findall(text[start:end].lower())
-    if len(words) != len(found):  # lower case of a letter of more than one
-        words = [text[a:z].lower() for a, z in found]
-    hashes = _hashes(words)
-    at, least = [0], 0
-    for i, h in enumerate(hashes):
-        if h <= hashes[least]:
-            least = i
-        elif least <= i - WINDOW:
-            least = i
-            for j in range(i - 1, i - WINDOW, -1):
-                if hashes[j] < hashes[least]:
-                    least = j
-        if i >= WINDOW - 1 and least > at[-1]:
-            at.append(least)
-    return [(found[a][0], found[z - 1][1], z - a) for a, z in zip(at, [*at[1:], len(found)], strict=True)]
-
-
-def _pieces(mark: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    at = start
-    for m in mark.finditer(text, start, end):
-        if m.start() > at:
-            yield at, m.start()
-        at = m.end()
-    if end > at:
-        yield at, end
-
-
-def span_arrays(text: str, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last sentence of the span that starts at each sentence and has enough behind it.
-
-    A span's hash sums its sentences' hashes times the powers of an odd number, so running sums give all spans of a text at once.
-    """
-    n = len(found)
-    low = text.lower()
-    low = low if len(low) == len(text) else None
-    norm = [" ".join((low[a:z] if low is not None else text[a:z].lower()).split()) for a, z, _ in found]
-    each = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) for s in norm), dtype=np.uint64, count=n)
-    upto = np.concatenate([[0], np.cumsum([w for _, _, w in found])]).astype(np.int64)
-    # the first end at which the words suffice, and at least so many sentences; n + 1 if there is none
-    end = np.maximum(np.searchsorted(upto, upto[:-1] + WORDS), np.arange(n) + SENTENCES)
-    first = np.flatnonzero(end <= n)
-    last = end[first] - 1
-    up, down = _powers(n)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(each * up)])
-    h = (sums[last + 1] - sums[first]) * down[first] + (last + 1 - first).astype(np.uint64)
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(29))).view(np.int64), first, last
+    return h ^ (h >> np.uint64(29))
 
 
-def spans(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """The same as rows."""
-    return zip(*(x.tolist() for x in span_arrays(text, found)), strict=True)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Cut:
+    """The words and sentences of some texts, end to end. Sentences are numbered through; ``first`` has each text's first one."""
+
+    def __init__(self, texts: list[str]):
+        points = _points("\n".join(texts))
+        kinds = _KINDS[np.minimum(points, 0xFFFF)]
+        far = np.flatnonzero(points > 0xFFFF)
+        kinds[far] = np.where((points[far] >= FAR_SCRIPT[0]) & (points[far] <= FAR_SCRIPT[1]), UNSPACED, OTHER)
+        space = (kinds == SPACE) | (kinds == LINE_END)
+        begins = ~space
+        apart, wide = kinds == UNSPACED, (kinds == WIDE_STOP) | (kinds == WIDE_PAUSE)
+        begins[1:] &= space[:-1] | apart[1:] | apart[:-1] | (wide[:-1] & ~wide[1:])
+        ends = ~space
+        ends[:-1] &= space[1:] | begins[1:]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.words = n = len(self.starts)
+        self.texts = np.cumsum([0, *(len(t) + 1 for t in texts)])  # where each text starts
+        self.word_hashes = self._hashed("\n".join(map(_lower, texts)), space)
+        self.sentences = np.flatnonzero(self._sentence_starts(kinds)) if n else np.zeros(0, dtype=np.int64)  # first words
+        self.first = np.searchsorted(self.starts[self.sentences], self.texts)
+
+    def _hashed(self, low: str, space: np.ndarray) -> np.ndarray:
+        if not self.words:
+            return np.zeros(0, dtype=np.uint64)
+        sizes = self.ends - self.starts
+        skip = int(self.starts[0])  # white space before the first word
+        place = np.zeros(len(space), dtype=np.int64)
+        place[skip:] = np.arange(skip, len(space)) - np.repeat(self.starts, np.diff(np.append(self.starts, len(space))))
+        value = _points(low).astype(np.uint64) + np.uint64(1)
+        value[space] = 0
+        place[space] = 0
+        value *= _powers(int(sizes.max()) + 1)[0][place]
+        return _mixed(np.add.reduceat(value, self.starts) + sizes.astype(np.uint64))
+
+    def _sentence_starts(self, kinds: np.ndarray) -> np.ndarray:
+        n = self.words
+        lines = np.cumsum(kinds == LINE_END)
+        last = kinds[self.ends[:-1] - 1]
+        gap = self.starts[1:] > self.ends[:-1]
+        new = np.ones(n, dtype=bool)
+        new[1:] = (lines[self.starts[1:] - 1] > lines[self.ends[:-1] - 1]) | ((last == STOP) & gap) | (last == WIDE_STOP)
+        pause = np.zeros(n, dtype=bool)
+        pause[1:] = ((last == PAUSE) & gap) | (last == WIDE_PAUSE)
+        new |= pause & self._long(new)
+        # of every WINDOW words of what is still long, the last with the smallest hash
+        long, group = self._long(new), np.cumsum(new)
+        if n >= WINDOW:
+            at = np.flatnonzero(long[: n - WINDOW + 1] & (group[: n - WINDOW + 1] == group[WINDOW - 1 :]))
+            least, best = at.copy(), self.word_hashes[at]
+            for k in range(1, WINDOW):
+                here = self.word_hashes[at + k]
+                less = here <= best
+                best, least = np.where(less, here, best), np.where(less, at + k, least)
+            new[least] = True
+        return new
+
+    @staticmethod
+    def _long(new: np.ndarray) -> np.ndarray:
+        """For each word whether its piece has more than LONG."""
+        sizes = np.diff(np.append(np.flatnonzero(new), len(new)))
+        return np.repeat(sizes > LONG, sizes)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash, first sentence, last sentence; numbered within the text) of the spans that start or end with each sentence.
+
+        A span's hash sums its words' hashes times the powers of an odd number, so running sums give all at once.
+        """
+        n, word = len(self.sentences), np.append(self.sentences, self.words)
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        end = np.maximum(np.searchsorted(word, word[:-1] + WORDS), np.arange(n) + SENTENCES)
+        begin = np.minimum(np.searchsorted(word, word[1:] - WORDS, side="right") - 1, np.arange(1, n + 1) - SENTENCES)
+        ahead = np.flatnonzero(end <= self.first[text + 1])
+        back = np.flatnonzero((begin >= self.first[text]) & (end[np.maximum(begin, 0)] != np.arange(1, n + 1)))  # and no other's span ahead
+        at, end = np.concatenate([ahead, begin[back]]), np.concatenate([end[ahead], back + 1])
+        up, down = _powers(self.words + 1)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.word_hashes * up[: self.words])])
+        h = (sums[word[end]] - sums[word[at]]) * down[word[at]] + (word[end] - word[at]).astype(np.uint64)
+        return text[at], _mixed(h).view(np.int64), at - self.first[text[at]], end - 1 - self.first[text[at]]
+
+    def counts(self) -> np.ndarray:
+        """Sentences of each text."""
+        return np.diff(self.first)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((int(_ODD), pow(int(_ODD), -1, 2**64))):
-            p = np.full(max(n, 1 << 14), base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of each sentence, in order; the white space between them belongs to none."""
+    cut = Cut([text])
+    word = np.append(cut.sentences, cut.words)
+    return list(zip(cut.starts[word[:-1]].tolist(), cut.ends[word[1:] - 1].tolist(), np.diff(word).tolist(), strict=True))
+
+
+def spans(text: str, _found: object = None) -> Iterator[tuple[int, int, int]]:
+    """(hash, first sentence, last sentence) of each span of a text."""
+    return zip(*(x.tolist() for x in Cut([text]).spans()[1:]), strict=True)
 
 
 def _all_spans(df: DataFrame, text: str, key: str, order: str) -> DataFrame:
-    """(id, h, span, first, last) of every text's spans, and one row a text with a null span, whose ``first`` is its number of sentences."""
+    """(id, h, span, first, last) of every text's spans."""
     bounded_batches(df.sparkSession)
     kind = df.schema[order].dataType
     schema = T.StructType([
@@ -166,75 +188,76 @@ def _all_spans(df: DataFrame, text: str, key: str, order: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in chunks_by_bytes(batch.column("t")):
+            for a, z in chunks_by_bytes(batch.column("t"), CHUNK):
                 part = batch.slice(a, z - a)
-                cut = [(t, sentences(t)) for t in part.column("t").to_pylist()]
-                got = [span_arrays(t, found) for t, found in cut]
-                row = np.concatenate([np.arange(len(cut)), np.repeat(np.arange(len(cut)), [len(g[0]) for g in got])])
-                joined = [np.concatenate([g[k] for g in got]) for k in range(3)]
-                none = pa.nulls(len(cut), pa.int64())
-                span = pa.concat_arrays([none, pa.array(joined[0], pa.int64())])
-                first = np.concatenate([[len(found) for _, found in cut], joined[1]]).astype(np.int32)
-                last = np.concatenate([np.full(len(cut), -1), joined[2]]).astype(np.int32)
+                row, span, first, last = Cut(part.column("t").to_pylist()).spans()
                 i = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(i), part.column("h").take(i), span, pa.array(first), pa.array(last)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(i), part.column("h").take(i), pa.array(span), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=schema.names)
 
     rows = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{order}`").alias("id"), F.col(key).alias("h"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(tidied(run), schema)
 
 
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("no"), "id", "h", "first")
+
+
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, n, gone: sorted (first, last, kept_in) of spans that aren't the first of their kind, or null) of texts; h is the text's hash, n the number of sentences."""
-    key = free_name(df, "h_")
-    every = staged(_all_spans(df.withColumn(key, F.xxhash64(F.col(f"`{text}`"))), text, key, doc_id), "spans")
-    place = F.struct(F.col("id").isNull().alias("no"), "id", "h", "first")
-    found = every.filter("span is not null")
-    counted = found.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("start")).filter("n > 1")
-    # written first: joined with the aggregate itself, the occurrences of a span could not be split over tasks
-    repeated = staged(counted, "repeated")
-    hot = repeated.filter(F.col("n") > HOT).drop("n")
-    passed = sieved(found, "span", repeated.select("span"), "may_").filter("may_").drop("may_")
+    """(id, h, gone: sorted (first, last, kept_in) of spans that aren't the first of their kind) of texts that have any; h is the text's hash."""
+    spark, key = df.sparkSession, free_name(df, "h_")
+    paths = [new_path(spark, name) for name in ("spans", "repeated")]
+    _all_spans(df.withColumn(key, F.xxhash64(F.col(f"`{text}`"))), text, key, doc_id).write.parquet(paths[0])
+    every = spark.read.parquet(paths[0])
+    every.groupBy("span").count().filter("count > 1").write.parquet(paths[1])
+    repeated = spark.read.parquet(paths[1])
+    hot = repeated.filter(F.col("count") > HOT).select("span")
+    passed = sieved(every, "span", repeated.select("span"), "may_").filter("may_").drop("may_")
     many = hot.count()
-    if 0 < many <= LISTED:
-        cold = passed.join(F.broadcast(hot.select("span")), "span", "left_anti").join(repeated.filter(F.col("n") <= HOT).drop("n"), "span")
-        both = cold.unionByName(found.join(F.broadcast(hot), "span"))
+    apart = 0 < many <= LISTED
+    if many > LISTED:  # the occurrences of a span of any size are joined with its first
+        start = staged(passed.groupBy("span").agg(F.min(_place()).alias("start")), "starts")
+        both = passed.join(start, "span")
     else:
-        both = passed.join(repeated.drop("n"), "span")
-    both = both.filter(~place.eqNullSafe(F.col("start")))
-    gone = both.select("id", "h", F.lit(None).cast("int").alias("n"), F.struct("first", "last", F.col("start.id").alias("kept_in")).alias("span"))
-    none = F.lit(None).cast(gone.schema["span"].dataType)
-    cut = every.filter("span is null").select("id", "h", F.col("first").alias("n"), none.alias("span"))
-    facts = F.sort_array(F.collect_set("span"))
-    return staged(gone.unionByName(cut).groupBy("id", "h").agg(F.max("n").alias("n"), F.when(F.count("span") > 0, facts).alias("gone")), "repeats")
+        cold = passed.join(F.broadcast(hot), "span", "left_anti") if apart else passed
+        order = Window.partitionBy("span").orderBy(F.col("id").isNull(), "id", "h", "first")
+        both = cold.withColumn("start", F.first(_place()).over(order))
+    if apart:
+        found = every.join(F.broadcast(hot), "span")
+        start = found.groupBy("span").agg(F.min(_place()).alias("start"))  # a row for each hot span
+        both = both.unionByName(found.join(F.broadcast(start), "span"))
+    gone = both.filter(~_place().eqNullSafe(F.col("start"))).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("first", "last", F.col("start.id").alias("kept_in")))).alias("gone"))
+    out = staged(gone, "repeats")
+    for path in paths:  # what was read from them is written now
+        drop_path(spark, path)
+    return out
 
 
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text") -> DataFrame:
     """``df`` with ``out`` (the text without repeated sentences), n_sentences, n_removed, removed (start:end in code points, comma-joined) and
     kept_in (ids of the documents in which the removed spans stay)."""
-    names = [out, "n_sentences", "n_removed", "removed", "kept_in"]
-    base = with_results(df, names)
-    gone = repeats(df, doc_id, text).withColumnsRenamed({"id": "id_", "h": "hh_", "n": "sentences_"})
-    wide = df.select(*[F.col(f"`{c}`") for c in base.columns], F.col(f"`{text}`").alias("__text"), F.col(f"`{doc_id}`").alias("__id"))
-    both = wide.join(gone, wide["__id"].eqNullSafe(gone["id_"]) & (F.xxhash64("__text") == gone["hh_"]), "left")
-    ids = T.ArrayType(df.schema[doc_id].dataType)
+    base = with_results(df, [out, "n_sentences", "n_removed", "removed", "kept_in"])
+    gone = repeats(df, doc_id, text).withColumnsRenamed({"id": "id_", "h": "hh_"})
+    names = [f"c{i}" for i in range(len(base.columns))]  # no name of the input clashes with one of ours
+    wide = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(base.columns, names, strict=True)], F.col(f"`{text}`").alias("__text"), F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
+    marked = sieved(wide, "__h", gone.select("hh_"), "__may")
+    listed = [F.array_distinct("gone.kept_in").alias("kept_in_"), F.col("gone.first").alias("first_"), F.col("gone.last").alias("last_")]
+    some = marked.filter("__may").join(gone, F.col("__id").eqNullSafe(F.col("id_")) & (F.col("__h") == F.col("hh_")), "left").select(*names, "__text", *listed)
+    none = [F.lit(None).cast(some.schema[c].dataType).alias(c) for c in ("kept_in_", "first_", "last_")]
+    plain = some.unionByName(marked.filter("not __may").select(*names, "__text", *none))
     fields = [T.StructField(out, T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())]
-    schema = T.StructType([*base.schema.fields, T.StructField("kept_in", ids), *fields])
+    schema = T.StructType([*base.schema.fields, T.StructField("kept_in", T.ArrayType(df.schema[doc_id].dataType)), *fields])
     n = len(base.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in chunks_by_bytes(batch.column(n)):
+            for a, z in chunks_by_bytes(batch.column(n), CHUNK):
                 part = batch.slice(a, z - a)
-                texts, covers = part.column(n).to_pylist(), zip(*(part.column(n + i).to_pylist() for i in (2, 3, 4)), strict=True)
-                cut = [_without(t, list(zip(f, g, strict=True))) if f else (t, m or 0, 0, "") for t, (f, g, m) in zip(texts, covers, strict=True)]
+                texts, covers = part.column(n).to_pylist(), zip(part.column(n + 2).to_pylist(), part.column(n + 3).to_pylist(), strict=True)
+                counts = Cut([t or "" for t in texts]).counts().tolist()
+                cut = [_without(t, list(zip(f, g, strict=True))) if f else (t, m, 0, "") for t, (f, g), m in zip(texts, covers, counts, strict=True)]
                 new = [pa.array([c[i] for c in cut], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], part.column(n + 1), *new], names=schema.names)
 
-    plain = both.select(
-        *[F.col(f"`{c}`") for c in base.columns], "__text", F.array_distinct("gone.kept_in").alias("kept_in_"),
-        F.col("gone.first").alias("first_"), F.col("gone.last").alias("last_"),
-        F.col("sentences_"),
-    )
     return plain.mapInArrow(tidied(run), schema)
 
 
