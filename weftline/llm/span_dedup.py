@@ -10,9 +10,9 @@ and joined globally. Of each repeated span the first occurrence stays, by doc_id
 place; every sentence covered by another occurrence is removed.
 
 Words, sentences and spans of many texts are found at once, by arrays of code points. The join carries hashes and places only. Spans are
-counted first, by their hashes alone, and only what a sieve of the repeated ones lets pass meets again. Spans of more than ``HOT``
-occurrences are dealt with where they are, without a shuffle, as long as the list of such spans is short (counted first), else by an
-equi-join that adaptive execution can split. Texts are shuffled only where something may be removed.
+counted first, by their hashes alone, and only what a sieve of the repeated ones lets pass meets its first occurrence again. The
+occurrences of a span of more than ``HOT`` are dealt to as many tasks as they fill, as long as the list of such spans is short (counted
+first); else adaptive execution splits them. Texts are shuffled only where something may be removed.
 
 Nulls and rows: a null text has no sentences and stays null; a null doc_id comes last in the order; rows of equal id
 and text are one document and get equal results; an empty table gives an empty result; an input column that has a result's
@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, chunks_by_bytes, drop_path, free_name, new_path, sieved, staged, tidied, with_results
 
 SENTENCES, WORDS, LONG, WINDOW = 2, 16, 11, 6
-#: Occurrences from which a span is dealt with apart, and such spans whose list is broadcast; bytes of text at a time.
+#: Occurrences of a span that meet in one task, and spans with more whose list is broadcast; bytes of text at a time.
 HOT, LISTED, CHUNK = 20_000, 100_000, 1 << 20
 
 OTHER, SPACE, LINE_END, STOP, PAUSE, WIDE_STOP, WIDE_PAUSE, UNSPACED = range(8)
@@ -210,21 +210,16 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     every = spark.read.parquet(paths[0])
     every.groupBy("span").count().filter("count > 1").write.parquet(paths[1])
     repeated = spark.read.parquet(paths[1])
-    hot = repeated.filter(F.col("count") > HOT).select("span")
     passed = sieved(every, "span", repeated.select("span"), "may_").filter("may_").drop("may_")
+    starts = staged(passed.groupBy("span").agg(F.min(_place()).alias("start"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "starts")
+    salts = F.ceil(F.col("n") / HOT).cast("int")
+    hot = starts.filter(F.col("n") > HOT).select("span", salts.alias("salts"))
     many = hot.count()
-    apart = 0 < many <= LISTED
-    if many > LISTED:  # the occurrences of a span of any size are joined with its first
-        start = staged(passed.groupBy("span").agg(F.min(_place()).alias("start")), "starts")
-        both = passed.join(start, "span")
+    if 0 < many <= LISTED:
+        dealt = passed.join(F.broadcast(hot), "span", "left").withColumn("salt", F.pmod(F.xxhash64("h"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        both = dealt.join(starts.select("span", "start", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), ["span", "salt"])
     else:
-        cold = passed.join(F.broadcast(hot), "span", "left_anti") if apart else passed
-        order = Window.partitionBy("span").orderBy(F.col("id").isNull(), "id", "h", "first")
-        both = cold.withColumn("start", F.first(_place()).over(order))
-    if apart:
-        found = every.join(F.broadcast(hot), "span")
-        start = found.groupBy("span").agg(F.min(_place()).alias("start"))  # a row for each hot span
-        both = both.unionByName(found.join(F.broadcast(start), "span"))
+        both = passed.join(starts, "span")
     gone = both.filter(~_place().eqNullSafe(F.col("start"))).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("first", "last", F.col("start.id").alias("kept_in")))).alias("gone"))
     out = staged(gone, "repeats")
     for path in paths:  # what was read from them is written now
