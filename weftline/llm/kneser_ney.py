@@ -291,6 +291,18 @@ def _find(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray)
     return out
 
 
+def _places(a: np.ndarray) -> np.ndarray:
+    """Places in a shard's arrays: 32 bits do unless a shard is very large."""
+    return a.astype("<u4" if int(a[-1]) < 2**32 else "<u8")
+
+
+def _offsets(model: Model, name: str, n: int) -> np.ndarray:
+    """The ``n`` places that a file holds."""
+    path = f"{model.folder}/{name}"
+    size = os.path.getsize(path) if os.path.exists(path) else 0
+    return _file(model, name, "<u8" if size == 8 * n else "<u4")
+
+
 def _put_capped(folder: str, name: str, large: str, values: np.ndarray) -> None:
     """Columns of small whole numbers as bytes; rows with a number beyond 254 also whole, with their places."""
     rows = values.reshape(len(values), -1)
@@ -323,14 +335,15 @@ def triples_of(m: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[n
     n = len(v)
     count, facts = np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.int64)
     for s, at in _by_shard(m.shards_of(u, v, w)):
-        offsets, us = _file(m, f"a{s}", "<u8"), _file(m, f"u{s}", m.id_kind)
+        us = _file(m, f"u{s}", m.id_kind)
         if not len(us):
             continue
-        local = v[at] - m.span(s, v[at])[0]
+        base, width = m.span(s, v[at])
+        offsets, local = _offsets(m, f"a{s}", width + 1), v[at] - base
         pair = _find(us, offsets[local].astype(np.int64), offsets[local + 1].astype(np.int64), u[at])
         hit = np.flatnonzero(pair >= 0)
         at, pair = at[hit], pair[hit]
-        starts = _file(m, f"b{s}", "<u8")
+        starts = _offsets(m, f"b{s}", len(us) + 1)
         lo, hi = starts[pair].astype(np.int64), starts[pair + 1].astype(np.int64)
         facts[at, :3] = _capped(m, f"f{s}", f"g{s}", pair, 3)
         facts[at, 3] = hi - lo
@@ -359,10 +372,10 @@ def pairs_of(m: Model, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nda
         shard[often] = m.piece(hot[often], w[often])
         after[often] = m.hot_after[hot[often]]
     for s, at in _by_shard(shard):
-        offsets = _file(m, f"c{s}.o", "<u8")
+        base, width = m.span(s, v[at])
+        offsets, local = _offsets(m, f"c{s}.o", width + 1), v[at] - base
         if not len(offsets):
             continue
-        local = v[at] - m.span(s, v[at])[0]
         if s < m.shards:
             after[at] = _file(m, f"t{s}", "<u4").reshape(-1, 4)[local]
         there = _find(_file(m, f"c{s}.w", m.id_kind), offsets[local].astype(np.int64), offsets[local + 1].astype(np.int64), w[at])
@@ -492,11 +505,11 @@ def train(rows: DataFrame, text: str = "text") -> Model:
         n, v, u, w, other = np.add.reduceat(n, first), v[first], u[first], w[first], other[first]
         pair = np.flatnonzero(other)
         base, width = m.span(s, v)
-        offsets = lambda x: np.concatenate([[0], np.cumsum(np.bincount(x - base, minlength=width))]).astype("<u8")
+        offsets = lambda x: _places(np.concatenate([[0], np.cumsum(np.bincount(x - base, minlength=width))]))
         facts = np.stack([np.add.reduceat(x, pair) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64))], axis=1)
         put_file(f"{m.folder}/a{s}", offsets(v[pair]))
         put_file(f"{m.folder}/u{s}", u[pair].astype(m.id_kind))
-        put_file(f"{m.folder}/b{s}", np.append(pair, len(v)).astype("<u8"))
+        put_file(f"{m.folder}/b{s}", _places(np.append(pair, len(v))))
         put_file(f"{m.folder}/w{s}", w.astype(m.id_kind))
         _put_capped(m.folder, f"f{s}", f"g{s}", facts)
         _put_capped(m.folder, f"n{s}", f"x{s}", n)
@@ -593,7 +606,7 @@ class _Rows:
 
 def _after(m: Model, s: int, v: np.ndarray, w: np.ndarray, before: np.ndarray, base: int, width: int, out: _Rows) -> None:
     """Writes the pairs (v, w) of a shard with the number of words before each; tells how often numbers occur, and each w's number of v."""
-    put_file(f"{m.folder}/c{s}.o", np.concatenate([[0], np.cumsum(np.bincount(v - base, minlength=width))]).astype("<u8"))
+    put_file(f"{m.folder}/c{s}.o", _places(np.concatenate([[0], np.cumsum(np.bincount(v - base, minlength=width))])))
     put_file(f"{m.folder}/c{s}.w", w.astype(m.id_kind))
     _put_capped(m.folder, f"c{s}.n", f"c{s}.x", before)
     if s < m.shards:
