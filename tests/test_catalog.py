@@ -14,7 +14,7 @@ def _rows(frame):
 @pytest.fixture(scope="module")
 def duck(data):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "supplier", "lineitem"):
         con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     return con
 

@@ -80,6 +80,33 @@ def test_init_and_validate(tmp_path):
     assert (tmp_path / "o" / "_config_validation.md").exists()
 
 
+def test_init_probes_a_site(tmp_path):
+    pages = {"/": ("text/html", "<html lang=de><title>Shop</title><main id=c>text<a href=/products/x>x</a></main></html>"), "/api/menu": ("application/json", "{}"), "/api/nav": ("text/html", "no"),
+             "/sitemap.xml": ("text/xml", "<urlset><url><loc>https://h/products/a</loc></url></urlset>")}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, text = pages.get(self.path, ("", None))
+            self.send_response(200 if text is not None else 404)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write((text or "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    pages[""] = pages["/"]
+    assert cli.main(["init", at, "--fetch", "--config-root", str(tmp_path)]) == 0
+    server.shutdown()
+    made = json.loads(next(tmp_path.rglob("common.json")).read_text())
+    assert made["html_components"]["content_selector"] == "#c" and made["site_name"] == "Shop" and "field_mapping" in made  # the preset of interfaces
+    seen = profiles.probed("https://s.example/de-de/", {"https://s.example/de-de/sitemap.xml": {"status": 200, "text": pages["/sitemap.xml"][1], "type": "text/xml"}})
+    assert (seen["sitemap_urls"], seen["lang_path"], seen["suggested_mode"], seen["api_hits"]) == (1, "/de-de", "nav", {"sitemap": "/sitemap.xml"})
+
+
 def test_stream_resumes_and_refreshes(spark, tmp_path):
     src, base, check = str(tmp_path / "in"), str(tmp_path / "base"), str(tmp_path / "check")
     seen = []

@@ -51,6 +51,7 @@ def _parser() -> argparse.ArgumentParser:
     init = sub.add_parser("init", help="make a profile from a preset and a home page")
     init.add_argument("base_url")
     init.add_argument("--home", help="file with the home page")
+    init.add_argument("--fetch", action="store_true", help="fetch the home page, the sitemap and the usual interfaces")
     init.add_argument("--sitemap", help="file with the sitemap's text")
     init.add_argument("--preset", choices=sorted(profiles.PRESETS))
     init.add_argument("--output-root", default="output")
@@ -165,12 +166,21 @@ def _by_kind(folder: str, config: dict) -> dict[str, dict]:
 
 
 def _init(args) -> int:
-    import re
-
-    probe = profiles.structure(Path(args.home).read_text(encoding="utf-8")) if args.home else {}
-    urls = re.findall(r"https?://[^<>\s\"']+", Path(args.sitemap).read_text(encoding="utf-8")) if args.sitemap else []
-    samples = {k: [u for u in urls if w in u.lower()][:5] for k, w in (("product", "/product"), ("industry", "/industr"), ("solution", "/solution"))}
-    preset = args.preset or profiles.preset_for(profiles.suggested_mode(False, len(urls)))
+    base = args.base_url.rstrip("/")
+    if args.fetch:
+        spark = _session()
+        corpus.register(spark)
+        urls = [base, *(base + p for p in profiles.API_PROBES.values())]
+        rows = spark.read.format("weft_web").options(urls=json.dumps(urls), partitions=4, max_retries=1).load().collect()  # some addresses
+        answers = {r.url: {"status": r.status, "type": r.type, "text": bytes(r.content or b"").decode("utf-8", "replace")} for r in rows}
+    else:
+        read = lambda path: {"status": 200, "text": Path(path).read_text(encoding="utf-8")} if path else {}
+        answers = {base: read(args.home), f"{base}/sitemap.xml": read(args.sitemap)}
+    probe = profiles.probed(base, answers)
+    samples = probe["sample_urls"]
+    if not args.home and not args.fetch:
+        probe = {k: v for k, v in probe.items() if k in ("suggested_mode", "sitemap_urls")}
+    preset = args.preset or profiles.preset_for(probe["suggested_mode"])
     config = profiles.generated(args.base_url, args.output_root, preset, probe, samples)
     folder = Path(args.config_root, config["site_id"])
     folder.mkdir(parents=True, exist_ok=True)

@@ -70,9 +70,9 @@ def classified(
 
 
 def buckets(items: DataFrame) -> DataFrame:
-    """(slug, category, items): sorted by slug where it is written."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "id", "name", "url"))), lambda x: F.struct(x["id"], x["name"], x["url"]))
-    return items.groupBy("slug", "category").agg(listed.alias("items"))
+    """(slug, category, place, id, name, url): items by category in the order of slugs, each numbered within its own; a row each, however many there are."""
+    place = F.row_number().over(Window.partitionBy("slug", "category").orderBy("ord"))
+    return items.withColumn("place", place).orderBy("slug", "category", "place").select("slug", "category", "place", "id", "name", "url")
 
 
 def from_list(entries: DataFrame, base_url: str, category: str = "Pages", skip_list_pages: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Documents as Markdown, Obsidian notes or JSON, and as assembled from blocks; native."""
+"""Documents as Markdown, Obsidian notes or JSON; native."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hooks
-from ..functions.columns import images, links, template, wiki_links
+from ..functions.columns import images, links, wiki_links
 
 
 def obsidian(md: Column, title: Column, url: Column, run_date: str) -> Column:
@@ -39,13 +39,6 @@ def formatted(docs: DataFrame, kind: str = "md", run_date: str = "1970-01-01", h
     return docs.withColumn(out, md)
 
 
-def assembled(docs: DataFrame, blocks: Iterable[str], footer: str = "\n\n> Extracted: {date} | Source: {url}", run_date: str = "1970-01-01", separator: str = "\n\n---\n\n", out: str = "md") -> DataFrame:
-    """One text of the block columns that aren't empty, under the title, with the footer."""
-    parts = F.filter(F.array(*[F.trim(F.coalesce(F.col(b), F.lit(""))) for b in blocks]), lambda b: b != "")
-    body = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join(parts, separator))
-    return docs.withColumn(out, F.concat(body, template(footer, {"date": F.lit(run_date), "url": F.col("url")})))
-
-
 def spec_table(rows: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, spec_md): attributes (page, layer, ord, k, v) as a table each."""
     safe = lambda c: F.replace(F.col(c), F.lit("|"), F.lit("\\|"))

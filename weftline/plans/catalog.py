@@ -379,6 +379,11 @@ HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^/?#]+)', 1))"
 SCHEME = r"lower(regexp_extract({0}, '^([a-zA-Z]+)://', 1))"
 
 ORACLES: dict[str, str] = recipes.ORACLES | {
+    "page_fingerprints": recipes.PAGE_TEXT,
+    "page_shells": r"""WITH b AS (SELECT page_id, length(html) AS n, len(regexp_extract_all(html, '<script')) AS scripts, contains(html, '<body') AS has,
+          regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<!--.*?-->', '', 'gs'), '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', chr(1), 'gs') AS t FROM pages),
+        c AS (SELECT *, list_sum(list_transform(string_split(t, chr(1)), lambda x: length(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')))) AS letters FROM b)
+        SELECT page_id, n < 500 OR NOT has OR letters < 500 OR (scripts > 10 AND letters < 2000) AS js_shell FROM c""",
     "html_link_counts": r"""WITH a AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 'gs'), '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)
         SELECT page_id, len(t) AS n, CAST(coalesce(list_sum(list_transform(t, lambda x: length(trim(replace(replace(replace(x, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'))))), 0) AS BIGINT) AS letters FROM a""",
     "page_specs": """SELECT page_id, 'Auto' AS layer, CAST(o AS INTEGER) AS ord, k, v FROM (

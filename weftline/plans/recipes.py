@@ -423,6 +423,44 @@ def product_tree(spark: SparkSession, d: str) -> DataFrame:
     return pages.children(s.filter("id between 1 and 24"), edges).select("root", "id", "depth", F.array_join("names", "/").alias("way"))
 
 
+def category_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Items by category, numbered."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    rows = s.select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("n"), "s_nationkey").alias("slug"), F.concat(F.lit("N"), "s_nationkey").alias("category"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("u").alias("url"))
+    return discovery.buckets(rows)
+
+
+def merged_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The first value of each key over layers: lines of orders stand for attributes, their numbers for layers."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = li.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("ord"), (F.col("l_suppkey") % 3).alias("k"), F.col("l_quantity").cast("int").alias("v"))
+    return pages.merge_layers(rows).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("ranks"), F.sum("k").alias("keys"))
+
+
+def spec_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes as a table for each nation: suppliers stand for keys."""
+    from ..operators import formats
+
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    rows = s.select(F.col("s_nationkey").alias("page_id"), F.lit("Auto").alias("layer"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("k|"), "s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    return formats.spec_table(rows).select("page_id", F.md5("spec_md").alias("spec_md5"))
+
+
+def streamed_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The baseline after all pages arrived as a stream, batch by batch, and nothing was left to do."""
+    import tempfile
+    import uuid
+
+    from ..streaming import incremental
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    incremental.run(spark, f"{d}/pages.parque?", f"{at}/baseline", f"{at}/done")
+    if incremental.run(spark, f"{d}/pages.parque?", f"{at}/baseline", f"{at}/done"):
+        raise AssertionError("a finished stream had something to do")
+    return sinks.state_table(spark, f"{at}/baseline").select("kind", "id", "fp")
+
+
 def note_formats(spark: SparkSession, d: str) -> DataFrame:
     """Texts as notes with front matter and as JSON."""
     from ..operators import formats
@@ -445,12 +483,15 @@ def _expected(rows: list[tuple[str, str]], column: str) -> str:
     return f"SELECT recipe, k, replace(replace(replace(e, '{{a}}', a), '{{b}}', b), '{{n}}', CAST(k AS VARCHAR)) AS {column} FROM {NAMES}, (VALUES {values}) r(recipe, e)"
 
 
+#: The text of a page without tags, scripts and comments, its white space gone.
+PAGE_TEXT = r"""SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\s\x0B\x1C-\x1F\x85\p{Z}]+', '', 'g')) AS fp FROM pages"""
 _FILL = "replace(replace(replace({0}, '{{a}}', a), '{{b}}', b), '{{n}}', CAST(k AS VARCHAR))"
 _SPEC_LINES = "## 技术参数 (Auto)\n| 参数 | 值 |\n|------|-----|\n| Mass | {n} kg |\n| Size | {a} |\n| Kind | {b} |"
 
 QUERIES = {f.__name__: f for f in (
     page_recipes, text_recipes, spec_recipes, quality_recipes, profile_recipes, text_functions, baseline_merge, record_summaries, image_files, resource_files, page_assembled, page_errors,
-    site_items, menu_entries, listed_pages, sub_sitemap_list, product_tree, note_formats,
+    site_items, menu_entries, listed_pages, sub_sitemap_list, product_tree, category_rows, merged_layers, spec_tables, streamed_baseline, note_formats,
 )}
 
 ORACLES: dict[str, str] = {
@@ -496,6 +537,13 @@ ORACLES: dict[str, str] = {
     "sub_sitemap_list": "SELECT 'https://x.example/p' || page_id || '.xml' AS url FROM pages WHERE page_id % 4 <> 0 AND page_id % 3 <> 0 ORDER BY page_id LIMIT 5",
     "product_tree": """WITH RECURSIVE t AS (SELECT s_suppkey AS root, s_suppkey AS id, 0 AS depth, '' AS way FROM supplier WHERE s_suppkey BETWEEN 1 AND 24
         UNION ALL SELECT t.root, s.s_suppkey, t.depth + 1, CASE WHEN way = '' THEN '' ELSE way || '/' END || 's' || s.s_suppkey FROM t JOIN supplier s ON s.s_suppkey > 1 AND s.s_suppkey // 2 = t.id WHERE t.depth < 3) SELECT * FROM t""",
+    "category_rows": """SELECT 'n' || s_nationkey AS slug, 'N' || s_nationkey AS category, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS place,
+        s_suppkey AS id, s_name AS name, 'u' AS url FROM supplier""",
+    "merged_layers": """WITH r AS (SELECT l_orderkey, l_suppkey % 3 AS k, min(l_linenumber) AS rank FROM lineitem GROUP BY 1, 2)
+        SELECT l_orderkey AS page_id, count(*) AS n, CAST(sum(rank) AS BIGINT) AS ranks, CAST(sum(k) AS BIGINT) AS keys FROM r GROUP BY 1""",
+    "spec_tables": r"""SELECT s_nationkey AS page_id, md5('## 技术参数 (Auto)' || chr(10) || chr(10) || '| 参数 | 值 |' || chr(10) || '| --- | --- |' || chr(10)
+        || string_agg('| k\|' || s_suppkey || ' | ' || s_name || ' |', chr(10) ORDER BY s_suppkey)) AS spec_md5 FROM supplier GROUP BY 1""",
+    "streamed_baseline": f"SELECT 'product' AS kind, CAST(page_id AS VARCHAR) AS id, fp FROM ({PAGE_TEXT})",
     "note_formats": f"""SELECT k, '---' || chr(10) || 'title: "say \\"' || a || '\\""' || chr(10) || 'source: "https://x.example/' || k || '"' || chr(10) || 'date: 2024-05-06' || chr(10) || '---' || chr(10) || chr(10)
         || '# ' || a || chr(10) || chr(10) || '![i](p.png) [[see]] [f](d.pdf) [[' || b || ']]' AS note, 'say "' || a || '"' AS title, '["p.png"]' AS images, '["d.pdf"]' AS resources, '["' || b || '"]' AS wiki_links,
         '["' || a || '"]' AS headings, 'https://x.example/' || k AS source_url, '2024-05-06' AS extract_date FROM {NAMES}""",

@@ -89,7 +89,7 @@ def url_list(spark: SparkSession, entries: Sequence[str | dict]) -> DataFrame:
 
 
 class WebSource(DataSource):
-    """``spark.read.format("weft_web").option("urls", json list)``: (url, status, content, disposition, error).
+    """``spark.read.format("weft_web").option("urls", json list)``: (url, status, content, disposition, error, type).
 
     Each partition fetches its share politely: a pause between requests, retries of 429, 503 and broken connections with
     growing waits, and a bound on bytes, declared or read. A failure is a row with an error. Options: partitions,
@@ -101,7 +101,7 @@ class WebSource(DataSource):
         return "weft_web"
 
     def schema(self) -> str:
-        return "url string, status int, content binary, disposition string, error string"
+        return "url string, status int, content binary, disposition string, error string, type string"
 
     def reader(self, schema) -> DataSourceReader:
         return _WebReader(self.options)
@@ -134,7 +134,7 @@ class _WebReader(DataSourceReader):
         from urllib.request import Request, urlopen
 
         if urlparse(url).scheme not in ("http", "https"):
-            return url, None, None, None, "only http(s) is fetched"
+            return url, None, None, None, "only http(s) is fetched", None
         error = ""
         for attempt in range(self.tries):
             if attempt:
@@ -142,15 +142,15 @@ class _WebReader(DataSourceReader):
             try:
                 with urlopen(Request(url, headers={"User-Agent": "weftline"}), timeout=self.timeout) as r:
                     if int(r.headers.get("Content-Length") or 0) > self.most or len(body := r.read(self.most + 1)) > self.most:
-                        return url, r.status, None, None, f"more than {self.most} bytes"
-                    return url, r.status, body, r.headers.get("Content-Disposition"), None
+                        return url, r.status, None, None, f"more than {self.most} bytes", None
+                    return url, r.status, body, r.headers.get("Content-Disposition"), None, r.headers.get("Content-Type")
             except HTTPError as e:
                 error = f"HTTP {e.code}"
                 if e.code not in (429, 503):
-                    return url, e.code, None, None, error
+                    return url, e.code, None, None, error, None
             except OSError as e:
                 error = str(e)
-        return url, None, None, None, error
+        return url, None, None, None, error, None
 
 
 def register(spark: SparkSession) -> None:
