@@ -260,29 +260,41 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """(node, root) for every node of ``edges`` (src, dst: long); root is the component's smallest node.
 
     Rounds of hooking each node to its smallest neighbour, jumping pointers, and contracting. Every table of
-    a round is written to the shared folder; nothing but row counts reaches the driver. Joins are plain
-    equi-joins, which adaptive execution splits when a root is hot.
+    a round is written to the shared folder, and goes when the next round's are there; nothing but row counts reaches the driver. Joins
+    are plain equi-joins, which adaptive execution splits when a root is hot.
     """
-    e = staged(
-        edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a < b").distinct(), "edges"
-    )
-    found: DataFrame | None = None
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e, at = kept(ordered(edges, "src", "dst").filter("a < b").distinct(), "edges")
+    found, found_at = None, ""
     while not e.isEmpty():
+        used = [at]
         both = e.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        up = staged(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "up")
+        up, at = kept(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "up")
         for _ in range(jumps):
+            used.append(at)
             top = up.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-            up = staged(up.join(top, "root").select("node", F.col("upper").alias("root")), "up")
+            up, at = kept(up.join(top, "root").select("node", F.col("upper").alias("root")), "up")
         to_a = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = e.join(to_a, "a").join(to_b, "b").filter("ra <> rb")
-        # nodes that stopped short of their root keep an edge to where they stopped
-        e = staged(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if found is None:
-            found = up
+            found, found_at = up, at
         else:
+            used += [at, found_at]
             moved = up.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-            found = staged(found.join(moved, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "found")
+            found, found_at = kept(found.join(moved, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "found")
+        # nodes that stopped short of their root keep an edge to where they stopped
+        e, at = kept(ordered(left, "ra", "rb").distinct(), "edges")
+        for path in used:
+            drop_path(spark, path)
     if found is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    drop_path(spark, at)
     return found
