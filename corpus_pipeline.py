@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, langid, mixing, pii, simhash
-from weftline.llm.common import staged
+from weftline.llm.common import drop_path, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -102,10 +102,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, beginning with ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs, f"stage{i}")
-    return docs
+    """All stages in turn, beginning with ``documents``; what a stage wrote goes when the next one's rows are written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = new_path(spark, f"stage{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            drop_path(spark, last)
+        docs, last = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
