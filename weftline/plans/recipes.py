@@ -185,7 +185,8 @@ def _filled(template: Column) -> Column:
 def _given(names: DataFrame, recipes: list) -> DataFrame:
     """(recipe, k, given): a row for each supplier and recipe."""
     rows = F.explode(F.array(*[F.struct(F.lit(r.name).alias("recipe"), F.lit(r.given).alias("given")) for r in recipes]))
-    return names.select("*", rows.alias("r")).select(F.col("r.recipe").alias("recipe"), "k", "a", "b", _filled(F.col("r.given")).alias("given"))
+    given = names.select("*", rows.alias("r")).select(F.col("r.recipe").alias("recipe"), "k", "a", "b", _filled(F.col("r.given")).alias("given"))
+    return given.repartition("k") if len(recipes) > 4 else given  # the suppliers are one small file, and one task
 
 
 def _by(recipes: list, key) -> list[list]:
