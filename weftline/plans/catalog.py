@@ -265,7 +265,7 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return extracted(spark, d, "fp").select("page_id", "fp")
+    return stage.extract(recipes.literal_references(pages(spark, d)), PROFILE, ["fp"]).select("page_id", "fp")
 
 
 def page_specs(spark: SparkSession, d: str) -> DataFrame:
