@@ -36,7 +36,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["page_fingerprints"])
+@pytest.mark.parametrize("name", ["page_fingerprints", "streamed_baseline"])
 def test_references_count_as_the_sql_says(spark, tmp_path, name):
     pages = ["<title>a &amp;&amp</title><p>b", "<p>&ampx; &lt &ltx; &copy</p>", "<p>&nbsp;&#39;&eacute;x&amp;lt;</p>", "<p>a & b &&amp; &middot;&quot;</p><script>a&&b</script><a href='?a&b'>c</a>"]
     spark.createDataFrame([(i, f"https://x.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

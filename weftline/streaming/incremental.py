@@ -31,15 +31,16 @@ def _baseline(spark: SparkSession, path: str) -> DataFrame:
 
 def run(
     spark: SparkSession, source: str, baseline: str, checkpoint: str, on_changes: Callable[[DataFrame, int], None] | None = None, files_per_batch: int = 20,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
-    """Works off the pages below ``source``; ``on_changes`` gets each batch's changes. Returns the number of batches."""
+    """Works off the pages below ``source``, each batch as ``prepare`` makes it; ``on_changes`` gets each batch's changes. Returns the number of batches."""
     stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     done = 0
 
     def batch(rows: DataFrame, n: int) -> None:
         nonlocal done
         session = rows.sparkSession
-        now = snapshot(rows).persist()
+        now = snapshot(prepare(rows) if prepare else rows).persist()
         try:
             old = _baseline(session, baseline)
             found = changes.detect(now, old, with_deleted=False)
