@@ -4,7 +4,9 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline import cli
 from weftline import config as profiles
@@ -236,3 +238,11 @@ def test_refinement(spark):
     assert failed.error and failed.md is None
     keyless = _docs(found, table, _config(), provider=Provider.of({"api_key_env": "NO_SUCH_KEY_HERE"}), forced=True)["Thing"]
     assert "NO_SUCH_KEY_HERE" in keyless.error
+
+
+def test_pages_travel_in_batches_bounded_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://x.example/").alias("url"), F.repeat(F.lit("x"), 10_000).alias("kept"), F.lit("<p>a</p>").alias("html"))
+    found = pages.extract(rows, want=["md"])
+    sizes = found.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.size for r in sizes) < 6 << 20

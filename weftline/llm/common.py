@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import os
 import re
 import tempfile
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches, tidied  # noqa: F401, what the operators share
+
 _SCRATCH: dict[str, str] = {}
 
 
@@ -102,32 +103,6 @@ def with_results(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-#: Bytes of the batches that texts travel in between the JVM and Python.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds this session's Arrow batches by bytes, unless somebody set a bound: by rows alone, a batch of long texts has any size."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
-def tidied(run):
-    """``run`` for ``mapInArrow``; when a task is done, its worker gives memory that it no longer uses back to the system."""
-
-    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
-
-    return tidy
-
-
 def cols(df: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in df.columns]
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
+from ..functions.batches import bounded_batches, tidied
 from ..functions.columns import same_origin, usable_href
 
 LINK = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("href", T.StringType()), T.StructField("text", T.StringType())])
@@ -148,7 +149,8 @@ def extract(
             new = [pa.array([r.get(w) for r in rows], type=kinds[w]) for w in asked]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    bounded_batches(pages.sparkSession)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def menu_items(pages: DataFrame, groups: str, entries: str, id_attr: str = "data-id", html: str = "html", url: str = "url") -> DataFrame:
@@ -171,7 +173,8 @@ def menu_items(pages: DataFrame, groups: str, entries: str, id_attr: str = "data
             kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["a", "b", "id", "name", "category", "url"])
 
-    found = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "a int, b int, id string, name string, category string, url string")
+    bounded_batches(pages.sparkSession)
+    found = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(tidied(run), "a int, b int, id string, name string, category string, url string")
     return found.filter("id <> ''").select(F.struct("a", "b").alias("ord"), F.lit("product").alias("kind"), "id", "name", "category", "url")
 
 
