@@ -43,3 +43,13 @@ def test_references_count_as_the_sql_says(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert _rows(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == _rows(con.sql(catalog.ORACLES[name]).df())
+
+
+def test_recipes_of_all_profiles_go_through_one_dealt_stage(spark, tmp_path):
+    spark.range(1, 451, 1, 1).selectExpr("id as s_suppkey", "id % 25 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = catalog.QUERIES["page_recipes"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert rows.rdd.getNumPartitions() >= 3
+    con = duckdb.connect()
+    con.sql(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    assert _rows(rows.toPandas()) == _rows(con.sql(catalog.ORACLES["page_recipes"]).df())

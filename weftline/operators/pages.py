@@ -110,7 +110,7 @@ def _resolved(base: str | None, href: str) -> str:
 def extract(
     pages: DataFrame, config: dict | None = None, want: Sequence[str] = tuple(OUTPUTS), html: str = "html", url: str = "url", name: str | None = None,
     page_type: str = "", selector: str = "a", *, types: str | None = None, limit: int | None = None, detail: bool = False, images: str | None = None,
-    resources: str | None = None, linked: str | None = None, provider: Callable[[str], str] | None = None, forced: bool = False,
+    resources: str | None = None, linked: str | None = None, provider: Callable[[str], str] | None = None, forced: bool = False, by: str | None = None,
 ) -> DataFrame:
     """``pages`` without its HTML, with the outputs in ``want``. A page that fails has its error, and nulls, and stops no job.
 
@@ -118,6 +118,7 @@ def extract(
     kept goes); ``linked`` has structs (catalogue, html) of pages with more attributes. With ``limit`` pages that are missing or
     larger are rows with that error, and their bodies aren't sent to Python; without, a null page is an empty one.
     ``detail`` picks a detail page's content; ``provider`` refines the text, and its failure is an error if ``forced``.
+    With ``by`` each page's profile is the one that ``config`` has for its value in that column: pages of many profiles go through one stage.
     """
     asked = tuple(w for w in OUTPUTS if w in want)
     inner = [c for c in (images, resources, linked) if c]
@@ -130,9 +131,10 @@ def extract(
     source = pages.select(
         *rest, F.col(url).alias("__url"), given(name, F.lit("")).alias("__name"), given(types, F.lit(page_type)).alias("__type"),
         given(images, nothing).alias("__images"), given(resources, nothing).alias("__resources"), given(linked, F.lit(None).cast(LINKED)).alias("__linked"),
-        bad.alias("__bad"), F.when(bad.isNull(), F.col(html)).alias("__html"),
+        bad.alias("__bad"), given(by, F.lit("")).alias("__by"), F.when(bad.isNull(), F.col(html)).alias("__html"),
     )
-    job = _Job(config or {}, frozenset(asked) - {"error"}, selector, detail, images is not None, resources is not None, provider, forced)
+    job = lambda c: _Job(c, frozenset(asked) - {"error"}, selector, detail, images is not None, resources is not None, provider, forced)
+    jobs = {k: job(c) for k, c in ((config or {}) if by else {"": config or {}}).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -141,9 +143,9 @@ def extract(
         for batch in batches:
             n = len(rest)
             rows = []
-            for u, title, kind, kept, files, more, wrong, h in zip(*(batch.column(n + i).to_pylist() for i in range(8)), strict=True):
+            for u, title, kind, kept, files, more, wrong, which, h in zip(*(batch.column(n + i).to_pylist() for i in range(9)), strict=True):
                 try:
-                    rows.append({"error": wrong} if wrong else _one(job, h, u, title, kind, kept, files, more))
+                    rows.append({"error": wrong} if wrong else _one(jobs[which], h, u, title, kind, kept, files, more))
                 except Exception as e:  # a broken page is a row with an error
                     rows.append({"error": f"{type(e).__name__}: {e}"})
             new = [pa.array([r.get(w) for r in rows], type=kinds[w]) for w in asked]
